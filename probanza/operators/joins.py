@@ -59,7 +59,6 @@ def with_share(counts: DataFrame, count: str, share: str, by: list[str] | None =
     if not by:
         total = counts.agg(F.sum(count).alias("total")).scalar()
         return counts.withColumn(share, F.round(amount / total, digits))
-    totals = counts.groupBy(*by).agg(F.sum(count).alias("_total"))
-    same = reduce(Column.__and__, [counts[c].eqNullSafe(totals[c]) for c in by])
-    kept = [counts[c] for c in counts.columns]
-    return counts.join(totals, same).select(*kept, F.round(amount / F.col("_total"), digits).alias(share))
+    totals = counts.groupBy(*(F.col(c).alias(f"_{c}") for c in by)).agg(F.sum(count).alias("_total"))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    return counts.join(totals, same).select(*counts.columns, F.round(amount / F.col("_total"), digits).alias(share))
