@@ -100,19 +100,17 @@ def without_prefix(c: Column | str, prefix: str) -> Column:
 
 
 # --- time -----------------------------------------------------------------------------------------
-_NAIVE = r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}([T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?)?$"
-_ZONED = r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}[T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)? ?(Z|[+-]\d{1,2}(:?\d{2})?)$"
+_TIMESTAMP_SHAPE = r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}([T ]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)? ?(Z|[+-]\d{1,2}(:?\d{2})?)?)?$"
 
 
 def parse_ts(c: Column | str) -> Column:
     """TIMESTAMP_NTZ of a text value, NULL when blank or malformed.
 
     A cast alone would read '2026' as a year and '09:00' as today; the shape is checked first.
-    A value with an offset is moved to UTC.
+    The wall time of a value with an offset is kept.
     """
     raw = F.translate(trimmed(c), "/", "-")
-    zoned = F.convert_timezone(F.current_timezone(), F.lit("UTC"), raw.try_cast("timestamp").cast("timestamp_ntz"))
-    return F.when(raw.rlike(_NAIVE), raw.try_cast("timestamp_ntz")).when(raw.rlike(_ZONED), zoned)
+    return F.when(raw.rlike(_TIMESTAMP_SHAPE), raw.try_cast("timestamp_ntz"))
 
 
 def parse_ts_lenient(c: Column | str) -> Column:

@@ -21,9 +21,8 @@ def exact_median(df: DataFrame, value: str, by: list[str] | None = None, width:
     are ranked.
     """
     by = by or []
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("bigint").alias("v")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    v = F.col(value).cast("bigint")
+    counts = df.groupBy(*by, v.alias("v")).agg(F.count(v).alias("n"))  # NULL weighs nothing
     bucket = F.floor(F.col("v") / width).alias("bucket")
     buckets = counts.groupBy(*by, bucket).agg(F.sum("n").alias("in_bucket"))
     whole = Window.partitionBy(*by)
@@ -39,9 +38,13 @@ def exact_median(df: DataFrame, value: str, by: list[str] | None = None, width:
     first, last = F.col("before_bucket"), F.col("before_bucket") + F.col("in_bucket") - 1
     middle = placed.filter(((first <= low) & (low <= last)) | ((first <= high) & (high <= last)))
     inner = Window.partitionBy(*by, "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    keys = [*by, "bucket"]
+    wanted = middle.withColumnsRenamed({k: f"_{k}" for k in keys})
+    # A null-safe match: a plain one would push an IS NOT NULL of the whole expression to the scan.
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
     ranked = (
         counts.select("*", bucket)
-        .join(middle, [*by, "bucket"])
+        .join(wanted, same)
         .select(*by, "v", "total", "n", (F.col("before_bucket") + F.sum("n").over(inner)).alias("upto"))
     )
     holds_low = (F.col("upto") - F.col("n") <= low) & (low < F.col("upto"))
@@ -130,7 +133,7 @@ def ordering_tally(df: DataFrame, process: str, event: str) -> DataFrame:
 
 def lag_profile(df: DataFrame, process: str, event: str) -> DataFrame:
     """Smallest, largest and median lag in seconds, granularity-aware."""
-    lags = process_event(df, process, event).select(C.lag_seconds("p", "e").alias("lag")).filter("lag is not null")
+    lags = process_event(df, process, event).select(C.lag_seconds("p", "e").alias("lag"))
     median = exact_median(lags, "lag").scalar()
     return lags.agg(F.min("lag").alias("lag_min"), F.max("lag").alias("lag_max")).select(
         "lag_min", "lag_max", median.alias("lag_median")
