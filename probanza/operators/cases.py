@@ -11,6 +11,7 @@ from probanza.functions import columns as C
 from probanza.functions import vocab
 from probanza.operators import decide as D
 from probanza.operators.joins import lookup_join
+from probanza.session import written
 
 
 # --- ground truth ---------------------------------------------------------------------------------
@@ -129,10 +130,13 @@ def curated_pools(products: DataFrame, depth: int) -> DataFrame:
     """
     ahorro, tarjeta = vocab.PRODUCT_TYPES
     per_type = stripped_counts(products)
-    kinds = per_type.groupBy("customer_id").agg(
-        F.coalesce(F.max(F.when(F.col("product_type") == ahorro, F.col("n"))), F.lit(0)).alias("savings"),
-        F.coalesce(F.max(F.when(F.col("product_type") == tarjeta, F.col("n"))), F.lit(0)).alias("cards"),
-        F.max("n").alias("most"),
+    kinds = written(
+        per_type.groupBy("customer_id").agg(
+            F.coalesce(F.max(F.when(F.col("product_type") == ahorro, F.col("n"))), F.lit(0)).alias("savings"),
+            F.coalesce(F.max(F.when(F.col("product_type") == tarjeta, F.col("n"))), F.lit(0)).alias("cards"),
+            F.max("n").alias("most"),
+        ),
+        "curated-kinds",
     )
     members = {
         "unique_0": F.col("savings") == 1,
@@ -140,14 +144,16 @@ def curated_pools(products: DataFrame, depth: int) -> DataFrame:
         "multiple": F.col("most") > 1,
         "absent": F.col("savings") == 0,
     }
+    sizes = kinds.agg(*(C.count_where(rule).alias(pool) for pool, rule in members.items()))
     pools = []
     for pool, rule in members.items():
         found = kinds.filter(rule).select("customer_id", (F.col("savings") > 0).alias("has_savings"))
         first = found.orderBy("customer_id").limit(depth)
         listed = first.agg(F.array_sort(F.collect_list(F.struct("customer_id", "has_savings"))).alias("m"))
-        size = found.agg(F.count(F.lit(1)).alias("n")).scalar()
         pools.append(
-            listed.select(F.lit(pool).alias("pool"), size.alias("pool_size"), F.posexplode("m").alias("position", "m")).select(
+            listed.select(
+                F.lit(pool).alias("pool"), sizes.select(pool).scalar().alias("pool_size"), F.posexplode("m").alias("position", "m")
+            ).select(
                 "pool", "pool_size", F.col("position").cast("bigint").alias("position"), "m.customer_id", "m.has_savings"
             )
         )
@@ -187,6 +193,7 @@ def curated_cases(products: DataFrame) -> DataFrame:
         "expected_authorization",
         "intent",
     )
+    chosen = written(chosen, "curated-cases")
     # The cases are a fixed short list, so their customers may be broadcast to trim the catalog.
     asked = F.broadcast(chosen.select("customer_id").distinct())
     relevant = products.withColumn("customer_id", C.strip("customer_id")).join(asked, "customer_id", "left_semi")

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from probanza.functions import columns as C
 from probanza.functions import vocab
@@ -113,8 +114,8 @@ def schema_recon(spark: SparkSession, root: str, rows_per_file: int = 40) -> Dat
     headers = S.headers_of(chosen)
     cells = []
     for header, paths in sorted(headers.items()):
-        names = list(header)
-        rows = spark.read.option("header", True).csv(paths).toDF(*names)
+        schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
+        rows = spark.read.schema(schema).option("header", True).csv(paths)
         sample = S.prefix_sample(S.with_position(rows), rows_per_file)
         cells.append(S.sample_cells(sample, ""))
     long = reduce(DataFrame.unionByName, cells).drop("dataset")

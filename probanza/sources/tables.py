@@ -103,7 +103,13 @@ def read_lenient(spark: SparkSession, paths: list[str], columns: list[str]) -> t
         .csv(paths)
     )
     bad = F.col("_corrupt_record").isNotNull()
-    return rows.filter(~bad).drop("_corrupt_record"), rows.filter(bad).select("_corrupt_record", L.metadata_path().alias(SOURCE_FILE))
+    malformed = rows.filter(bad & _reads(columns[0])).select("_corrupt_record", L.metadata_path().alias(SOURCE_FILE))
+    return rows.filter(~bad).drop("_corrupt_record"), malformed
+
+
+def _reads(column: str) -> Column:
+    """Always true; the CSV reader wants a data column read along with the raw record."""
+    return F.coalesce(F.col(f"`{column}`"), F.lit("")) != "\u0000"
 
 
 def scoped(df: DataFrame, wanted: list[str]) -> DataFrame:
@@ -163,6 +169,7 @@ def row_widths(spark: SparkSession, listing: DataFrame, multi_line: bool = False
             .csv(paths)
         )
         bare = F.regexp_replace("_corrupt_record", '"[^"]*"', "")
+        rows = rows.filter(_reads(header[0]))
         width = F.when(F.col("_corrupt_record").isNull(), len(header)).otherwise(
             F.length(bare) - F.length(F.translate(bare, ",", "")) + 1
         )
