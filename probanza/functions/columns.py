@@ -130,42 +130,59 @@ def has_time(ts: Column | str) -> Column:
     return F.coalesce(_col(ts) != day_of(ts).cast("timestamp_ntz"), F.lit(False))
 
 
-def granularity(process: Column | str, event: Column | str) -> Column:
-    """How two parsed timestamps may be compared."""
+def both_timed(process: Column | str, event: Column | str) -> Column:
+    return has_time(process) & has_time(event)
+
+
+def granularity(process: Column | str, event: Column | str, timed: Column | None = None) -> Column:
+    """How two parsed timestamps may be compared; ``timed`` may hold ``both_timed`` computed before."""
     process, event = _col(process), _col(event)
+    timed = both_timed(process, event) if timed is None else timed
     return (
         F.when(process.isNull() | event.isNull(), "UNKNOWN")
-        .when(has_time(process) & has_time(event), "BOTH_TIMESTAMP")
+        .when(timed, "BOTH_TIMESTAMP")
         .otherwise("CALENDAR_DAY")
     )
 
 
-def ordering_class(process: Column | str, event: Column | str) -> Column:
-    """Order of process and event, by instant when both are timed and by day otherwise."""
+def comparison(process: Column | str, event: Column | str, timed: Column | None = None) -> Column:
+    """-1 when the process lies before the event, 0 on the same day (or instant), 1 after; NULL unknown."""
     process, event = _col(process), _col(event)
-    timed = has_time(process) & has_time(event)
-    left = F.when(timed, process).otherwise(day_of(process).cast("timestamp_ntz"))
-    right = F.when(timed, event).otherwise(day_of(event).cast("timestamp_ntz"))
+    timed = both_timed(process, event) if timed is None else timed
+    instant = F.when(process < event, -1).when(process > event, 1).otherwise(0)
+    days = F.signum(F.datediff(day_of(process), day_of(event))).cast("int")
+    return F.when(process.isNull() | event.isNull(), None).when(timed, instant).otherwise(days)
+
+
+def ordering_label(compared: Column | str) -> Column:
+    """Name of a comparison."""
+    compared = _col(compared)
     return (
-        F.when(process.isNull() | event.isNull(), "UNKNOWN")
-        .when(left < right, "PROCESS_BEFORE_EVENT")
-        .when(left > right, "EVENT_BEFORE_PROCESS")
+        F.when(compared.isNull(), "UNKNOWN")
+        .when(compared < 0, "PROCESS_BEFORE_EVENT")
+        .when(compared > 0, "EVENT_BEFORE_PROCESS")
         .otherwise("SAME_CALENDAR_DAY")
     )
 
 
+def ordering_class(process: Column | str, event: Column | str) -> Column:
+    """Order of process and event, by instant when both are timed and by day otherwise."""
+    return ordering_label(comparison(process, event))
+
+
 def whole_seconds(ts: Column | str) -> Column:
     """Seconds since 1970 of a zone-less timestamp, fractions dropped."""
     ts = _col(ts)
     return F.unix_date(day_of(ts)).cast("bigint") * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
 
 
-def lag_seconds(process: Column | str, event: Column | str) -> Column:
+def lag_seconds(process: Column | str, event: Column | str, timed: Column | None = None) -> Column:
     """Seconds from event to process; whole days when either side has no time of day."""
     process, event = _col(process), _col(event)
+    timed = both_timed(process, event) if timed is None else timed
     return (
         F.when(process.isNull() | event.isNull(), None)
-        .when(has_time(process) & has_time(event), whole_seconds(process) - whole_seconds(event))
+        .when(timed, whole_seconds(process) - whole_seconds(event))
         .otherwise(F.datediff(day_of(process), day_of(event)).cast("bigint") * 86400)
     )
 

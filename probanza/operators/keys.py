@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probanza.functions import columns as C
@@ -95,43 +95,100 @@ def candidate_keys(profile: DataFrame) -> DataFrame:
 
 
 # --- foreign keys ---------------------------------------------------------------------------------
-def _matched_keys(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str) -> DataFrame:
-    """Child and parent rows per key, side by side."""
-    c, p = rows_per_key(child, child_key, "child_rows"), rows_per_key(parent, parent_key, "parent_rows")
-    return c.join(p, "join_key", "full")
+def edge_facts(tables: dict[str, DataFrame], edges: list[Edge] | tuple[Edge, ...]) -> DataFrame:
+    """One row of counts per edge (child, child key, parent, parent key), all edges in one shuffle.
 
+    Every table is read once: its rows become (target, key, source) cells, one per edge it takes
+    part in, where the target is a parent key and the source an edge or the parent itself. Rows per
+    (target, key) and source combine on the map side; a blank key is counted under NULL and matches
+    nothing.
+    """
+    edges = list(dict.fromkeys(edges))
+    targets = list(dict.fromkeys((parent, key) for _, _, parent, key in edges))
+    frames = []
+    for t, df in tables.items():
+        cells = [
+            (targets.index((parent, parent_key)), i, child_key)
+            for i, (child, child_key, parent, parent_key) in enumerate(edges)
+            if child == t
+        ] + [(k, -1, key) for k, (parent, key) in enumerate(targets) if parent == t]
+        if cells:
+            structs = [
+                F.struct(F.lit(k).alias("target"), F.lit(i).alias("source"), C.key_of(F.col(f"`{c}`")).alias("join_key"))
+                for k, i, c in cells
+            ]
+            frames.append(df.select(F.inline(F.array(*structs))))
+    source = F.col("source")
+    per_key = reduce(DataFrame.unionByName, frames).groupBy("target", "join_key").agg(
+        C.count_where(source == -1).alias("parent"),
+        *(C.count_where(source == i).alias(f"child_{i}") for i in range(len(edges))),
+    )
+    known, parent = F.col("join_key").isNotNull(), F.col("parent")
+    totals, rows = [], []
+
+    def count(name: str, condition: Column, weight: Column | None = None) -> Column:
+        total = F.sum(F.when(condition, weight)) if weight is not None else C.count_where(condition)
+        totals.append(F.coalesce(total, F.lit(0)).alias(name))
+        return F.col(name)
+
+    parents = {}
+    for k, _ in enumerate(targets):
+        here = F.col("target") == k
+        parents[k] = {
+            "parent_rows": count(f"pr_{k}", here, parent),
+            "parent_non_null": count(f"pn_{k}", here & known, parent),
+            "parent_distinct": count(f"pd_{k}", here & known & (parent > 0)),
+        }
+    for i, (child, child_key, parent_name, parent_key) in enumerate(edges):
+        k, n = targets.index((parent_name, parent_key)), F.col(f"child_{i}")
+        here = (F.col("target") == k) & known & (n > 0)
+        facts = {
+            "child_rows": count(f"cr_{i}", F.col("target") == k, n),
+            "non_null_child_keys": count(f"cn_{i}", here, n),
+            "distinct_child_keys": count(f"cd_{i}", here),
+            "matched_distinct_keys": count(f"md_{i}", here & (parent > 0)),
+            "matched_rows": count(f"mr_{i}", here & (parent > 0), n),
+            "repeated_child_keys": count(f"rc_{i}", here & (n > 1)),
+            **parents[k],
+        }
+        names = zip(("child_dataset", "child_key", "parent_dataset", "parent_key"), edges[i])
+        rows.append(F.struct(*(F.lit(v).alias(c) for c, v in names), *(v.alias(c) for c, v in facts.items())))
+    return per_key.agg(*totals).select(F.inline(F.array(*rows)))
+
+
+def _usable(tables: dict[str, DataFrame], edge: Edge) -> bool:
+    child, child_key, parent, parent_key = edge
+    return (
+        child in tables
+        and parent in tables
+        and child_key in tables[child].columns
+        and parent_key in tables[parent].columns
+    )
 
-def fk_profile(tables: dict[str, DataFrame], edge: Edge) -> DataFrame:
-    """Match and orphan rates over distinct keys, and the parent's duplicate rate.
+
+def fk_profiles(tables: dict[str, DataFrame], edges: tuple[Edge, ...]) -> DataFrame:
+    """Match and orphan rates over distinct keys, and the parent's duplicate rate, per usable edge.
 
     Without any non-blank child key the rates are NULL (unknown), never 0.
     """
-    child, child_key, parent, parent_key = edge
-    known, n, m = F.col("join_key").isNotNull(), F.col("child_rows"), F.col("parent_rows")
-    totals = _matched_keys(tables[child], child_key, tables[parent], parent_key).agg(
-        F.coalesce(F.sum(n), F.lit(0)).alias("child_row_count"),
-        F.coalesce(F.sum(F.when(known, n)), F.lit(0)).alias("non_null_child_keys"),
-        C.count_where(known & n.isNotNull()).alias("distinct_child_keys"),
-        C.count_where(known & n.isNotNull() & m.isNotNull()).alias("matched_distinct_keys"),
-        F.coalesce(F.sum(m), F.lit(0)).alias("parent_row_count"),
-        F.coalesce(F.sum(F.when(known, m)), F.lit(0)).alias("parent_non_null"),
-        C.count_where(known & m.isNotNull()).alias("parent_distinct"),
-    )
+    facts = edge_facts(tables, [e for e in edges if _usable(tables, e)])
     distinct, matched = F.col("distinct_child_keys"), F.col("matched_distinct_keys")
-    return totals.select(
-        F.lit(f"{child}.{child_key}->{parent}.{parent_key}").alias("record_id"),
-        F.lit(child).alias("child_dataset"),
-        F.lit(child_key).alias("child_key"),
-        F.lit(parent).alias("parent_dataset"),
-        F.lit(parent_key).alias("parent_key"),
-        "child_row_count",
+    child = F.concat_ws(".", "child_dataset", "child_key")
+    parent = F.concat_ws(".", "parent_dataset", "parent_key")
+    return facts.select(
+        F.concat(child, F.lit("->"), parent).alias("record_id"),
+        "child_dataset",
+        "child_key",
+        "parent_dataset",
+        "parent_key",
+        F.col("child_rows").alias("child_row_count"),
         "non_null_child_keys",
         "distinct_child_keys",
         "matched_distinct_keys",
         (distinct - matched).alias("unmatched_distinct_keys"),
         C.pct_or_null(matched, distinct).alias("match_rate_pct"),
         C.pct_or_null(distinct - matched, distinct).alias("orphan_rate_pct"),
-        C.pct(F.col("parent_non_null") - F.col("parent_distinct"), F.col("parent_row_count")).alias(
+        C.pct(F.col("parent_non_null") - F.col("parent_distinct"), F.col("parent_rows")).alias(
             "parent_duplicate_key_rate_pct"
         ),
         F.when(distinct == 0, "UNKNOWN_NO_NONNULL_KEYS").otherwise("KNOWN").alias("rate_status"),
@@ -139,58 +196,51 @@ def fk_profile(tables: dict[str, DataFrame], edge: Edge) -> DataFrame:
     )
 
 
-def fk_profiles(tables: dict[str, DataFrame], edges: tuple[Edge, ...]) -> DataFrame:
-    """All edges whose two tables are present."""
-    present = [e for e in edges if e[0] in tables and e[2] in tables]
-    return reduce(DataFrame.unionByName, [fk_profile(tables, e) for e in present])
+def fk_profile(tables: dict[str, DataFrame], edge: Edge) -> DataFrame:
+    return fk_profiles(tables, (edge,))
 
 
-def fk_row_profile(tables: dict[str, DataFrame], edge: Edge) -> DataFrame:
+def fk_row_profiles(tables: dict[str, DataFrame], edges: tuple[Edge, ...]) -> DataFrame:
     """Child rows that match, miss, or have no key; a missing table or column is MISSING EVIDENCE."""
-    child, child_key, parent, parent_key = edge
-    names = [F.lit(v).alias(n) for v, n in zip(edge, ("child_table", "child_column", "parent_table", "parent_column"))]
-    usable = (
-        child in tables
-        and parent in tables
-        and child_key in tables[child].columns
-        and parent_key in tables[parent].columns
-    )
-    if not usable:
-        spark = next(iter(tables.values())).sparkSession
-        numbers = [F.lit(None).cast(t).alias(n) for n, t in _FK_ROW_COLUMNS]
-        return spark.range(1).select(*names, *numbers, F.lit("MISSING EVIDENCE").alias("status"))
-    known, n = F.col("join_key").isNotNull(), F.col("child_rows")
-    totals = _matched_keys(tables[child], child_key, tables[parent], parent_key).agg(
-        F.coalesce(F.sum(n), F.lit(0)).alias("child_rows"),
-        F.coalesce(F.sum(F.when(known & F.col("parent_rows").isNotNull(), n)), F.lit(0)).alias("matched_rows"),
-        F.coalesce(F.sum(F.when(~known, n)), F.lit(0)).alias("null_rows"),
-    )
-    filled = F.col("child_rows") - F.col("null_rows")
-    orphans = filled - F.col("matched_rows")
-    return totals.select(
-        *names,
+    filled, matched = F.col("non_null_child_keys"), F.col("matched_rows")
+    blank = F.col("child_rows") - filled
+    facts = edge_facts(tables, [e for e in edges if _usable(tables, e)]).select(
+        F.col("child_dataset").alias("child_table"),
+        F.col("child_key").alias("child_column"),
+        F.col("parent_dataset").alias("parent_table"),
+        F.col("parent_key").alias("parent_column"),
         "child_rows",
         "matched_rows",
-        orphans.alias("orphan_rows"),
-        C.pct(orphans, filled, 4).alias("orphan_rate"),
-        "null_rows",
-        C.pct(F.col("null_rows"), F.col("child_rows"), 4).alias("null_rate"),
+        (filled - matched).alias("orphan_rows"),
+        C.pct(filled - matched, filled, 4).alias("orphan_rate"),
+        blank.alias("null_rows"),
+        C.pct(blank, F.col("child_rows"), 4).alias("null_rate"),
         F.lit("observed").alias("status"),
     )
+    absent = [(*e, "MISSING EVIDENCE") for e in edges if not _usable(tables, e)]
+    if not absent:
+        return facts
+    schema = "child_table string, child_column string, parent_table string, parent_column string, status string"
+    return facts.unionByName(facts.sparkSession.createDataFrame(absent, schema), allowMissingColumns=True)
 
 
-_FK_ROW_COLUMNS = (
-    ("child_rows", "bigint"),
-    ("matched_rows", "bigint"),
-    ("orphan_rows", "bigint"),
-    ("orphan_rate", "double"),
-    ("null_rows", "bigint"),
-    ("null_rate", "double"),
-)
-
-
-def fk_row_profiles(tables: dict[str, DataFrame], edges: tuple[Edge, ...]) -> DataFrame:
-    return reduce(DataFrame.unionByName, [fk_row_profile(tables, e) for e in edges])
+def relationship_status(tables: dict[str, DataFrame], edges: tuple[Edge, ...]) -> DataFrame:
+    """Match rate, share of repeated child keys, and VERIFIED from 95 per cent on, per usable edge."""
+    facts = edge_facts(tables, [e for e in edges if _usable(tables, e)])
+    distinct, matched = F.col("distinct_child_keys"), F.col("matched_distinct_keys")
+    verified = (distinct > 0) & (matched >= distinct * 0.95)
+    return facts.select(
+        "child_dataset",
+        "child_key",
+        "parent_dataset",
+        "parent_key",
+        matched.alias("matched_child_keys"),
+        (distinct - matched).alias("unmatched_child_keys"),
+        C.pct(matched, distinct, 4).alias("match_rate_pct"),
+        C.pct(distinct - matched, distinct, 4).alias("orphan_rate_pct"),
+        C.pct(F.col("repeated_child_keys"), distinct, 4).alias("duplicate_join_key_rate_pct"),
+        F.when(verified, "VERIFIED RELATIONSHIP").otherwise("LIKELY RELATIONSHIP").alias("status"),
+    )
 
 
 def unmatched_keys(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str) -> DataFrame:
@@ -205,33 +255,6 @@ def matched_keys(child: DataFrame, child_key: str, parent: DataFrame, parent_key
     return known.join(rows_per_key(parent, parent_key).select("join_key"), "join_key", "left_semi")
 
 
-def relationship_status(tables: dict[str, DataFrame], edge: Edge) -> DataFrame:
-    """Match rate, share of repeated child keys, and VERIFIED from 95 per cent on."""
-    child, child_key, parent, parent_key = edge
-    known, n = F.col("join_key").isNotNull(), F.col("child_rows")
-    here = known & n.isNotNull()
-    totals = _matched_keys(tables[child], child_key, tables[parent], parent_key).agg(
-        C.count_where(here).alias("distinct_child_keys"),
-        C.count_where(here & F.col("parent_rows").isNotNull()).alias("matched_child_keys"),
-        C.count_where(here & (n > 1)).alias("repeated"),
-    )
-    distinct, matched = F.col("distinct_child_keys"), F.col("matched_child_keys")
-    return totals.select(
-        F.lit(child).alias("child_dataset"),
-        F.lit(child_key).alias("child_key"),
-        F.lit(parent).alias("parent_dataset"),
-        F.lit(parent_key).alias("parent_key"),
-        "matched_child_keys",
-        (distinct - matched).alias("unmatched_child_keys"),
-        C.pct(matched, distinct, 4).alias("match_rate_pct"),
-        C.pct(distinct - matched, distinct, 4).alias("orphan_rate_pct"),
-        C.pct(F.col("repeated"), distinct, 4).alias("duplicate_join_key_rate_pct"),
-        F.when(matched >= distinct * 0.95, F.when(distinct > 0, "VERIFIED RELATIONSHIP"))
-        .otherwise("LIKELY RELATIONSHIP")
-        .alias("_status"),
-    ).select("*", F.coalesce("_status", F.lit("LIKELY RELATIONSHIP")).alias("status")).drop("_status")
-
-
 def key_reconciliation(
     child: DataFrame, child_key: str, parent: DataFrame, parent_key: str, prefix: str
 ) -> DataFrame:

@@ -113,7 +113,7 @@ def process_event(df: DataFrame, process: str | None, event: str, path: str | No
     """Parsed columns that the time operators share: p, e, malformed, and the partition parts."""
     part = (lambda name, n: C.partition_part(path, name, n)) if path else (lambda name, n: F.lit(None).cast("int"))
     event_ts = C.parse_ts(event)
-    return df.select(
+    parsed = df.select(
         (C.parse_ts(process) if process else F.lit(None).cast("timestamp_ntz")).alias("p"),
         event_ts.alias("e"),
         (C.nonempty(event) & event_ts.isNull()).alias("malformed"),
@@ -121,19 +121,21 @@ def process_event(df: DataFrame, process: str | None, event: str, path: str | No
         part("month", 2).alias("pm"),
         part("day", 2).alias("pd"),
     )
+    return parsed.withColumn("timed", C.both_timed("p", "e"))
 
 
 def ordering_tally(df: DataFrame, process: str, event: str) -> DataFrame:
     """Rows per comparison granularity and ordering class."""
     parsed = process_event(df, process, event)
     return parsed.groupBy(
-        C.granularity("p", "e").alias("granularity"), C.ordering_class("p", "e").alias("ordering")
-    ).agg(F.count(F.lit(1)).alias("rows"))
+        C.granularity("p", "e", F.col("timed")).alias("granularity"),
+        C.comparison("p", "e", F.col("timed")).alias("compared"),
+    ).agg(F.count(F.lit(1)).alias("rows")).select("granularity", C.ordering_label("compared").alias("ordering"), "rows")
 
 
 def lag_profile(df: DataFrame, process: str, event: str) -> DataFrame:
     """Smallest, largest and median lag in seconds, granularity-aware."""
-    lags = process_event(df, process, event).select(C.lag_seconds("p", "e").alias("lag"))
+    lags = process_event(df, process, event).select(C.lag_seconds("p", "e", F.col("timed")).alias("lag"))
     median = exact_median(lags, "lag").scalar()
     return lags.agg(F.min("lag").alias("lag_min"), F.max("lag").alias("lag_max")).select(
         "lag_min", "lag_max", median.alias("lag_median")
@@ -165,18 +167,18 @@ def temporal_profile(
 ) -> DataFrame:
     """The time metrics of one event table in long form.
 
-    One pass folds the table to (event day, partition date, granularity, ordering): a frame bounded
+    One pass folds the table to (event day, partition date, timed, order): a frame bounded
     by the calendar, from which every count follows. Only the median reads the lags again.
     """
     parsed = process_event(df, process, event, path)
     aligned, mismatched = _alignment()
+    timed = F.col("timed")
     cells = parsed.select(
         "*",
         C.day_of("e").alias("day"),
-        C.granularity("p", "e").alias("granularity"),
-        C.ordering_class("p", "e").alias("ordering"),
-        C.lag_seconds("p", "e").alias("lag"),
-    ).groupBy("day", "py", "pm", "pd", "granularity", "ordering").agg(
+        C.comparison("p", "e", timed).alias("compared"),
+        C.lag_seconds("p", "e", timed).alias("lag"),
+    ).groupBy("day", "py", "pm", "pd", "timed", "compared").agg(
         F.count(F.lit(1)).alias("n"),
         F.min("e").alias("lo"),
         F.max("e").alias("hi"),
@@ -188,8 +190,10 @@ def temporal_profile(
         F.max("lag").alias("lag_max"),
     )
 
-    def rows_where(column: str, value: str) -> Column:
-        return F.coalesce(F.sum(F.when(F.col(column) == value, F.col("n"))), F.lit(0)).alias(value.lower())
+    def rows_where(condition: Column, name: str) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0)).alias(name)
+
+    compared = F.col("compared")
 
     partitioned = F.col("py").isNotNull()
     zero = F.lit(0)
@@ -202,12 +206,12 @@ def temporal_profile(
         F.count_distinct(F.when(partitioned, F.struct("py", "pm", "pd"))).alias("partition_dates"),
         F.coalesce(F.sum("aligned"), zero).alias("aligned"),
         F.coalesce(F.sum("mismatched"), zero).alias("mismatched"),
-        rows_where("granularity", "BOTH_TIMESTAMP"),
-        rows_where("granularity", "CALENDAR_DAY"),
-        rows_where("ordering", "EVENT_BEFORE_PROCESS"),
-        rows_where("ordering", "PROCESS_BEFORE_EVENT"),
-        rows_where("ordering", "SAME_CALENDAR_DAY"),
-        rows_where("ordering", "UNKNOWN"),
+        rows_where(compared.isNotNull() & timed, "both_timestamp"),
+        rows_where(compared.isNotNull() & ~timed, "calendar_day"),
+        rows_where(compared > 0, "event_before_process"),
+        rows_where(compared < 0, "process_before_event"),
+        rows_where(compared == 0, "same_calendar_day"),
+        rows_where(compared.isNull(), "unknown"),
         F.min("lag_min").alias("lag_min"),
         F.max("lag_max").alias("lag_max"),
     )
@@ -216,7 +220,7 @@ def temporal_profile(
     gaps = missing_days(cells.select(F.when(has_month, partition_day).alias("day")), "day")
     wide = wide.withColumn("missing_partition_dates", gaps.agg(F.count(F.lit(1)).alias("n")).scalar())
     if process:
-        lags = parsed.select(C.lag_seconds("p", "e").alias("lag"))
+        lags = parsed.select(C.lag_seconds("p", "e", timed).alias("lag"))
         wide = wide.withColumn("lag_median", exact_median(lags, "lag").scalar())
     return M.long_form(
         wide.withColumn("dataset", F.lit(dataset)), ["dataset"], _profile_metrics(bool(process), run_date)

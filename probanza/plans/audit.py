@@ -57,7 +57,7 @@ def audit(tables: dict[str, DataFrame], files: DataFrame, run_date: str) -> dict
         "data_quality": graded.withColumn("semantic_hints", F.array_join("semantic_hints", ",")),
         "volume": P.volume_vs_expected(P.row_counts(tables), vocab.EXPECTED_ROWS),
         "foreign_key_quality": K.fk_row_profiles(tables, tuple(edges)),
-        "join_quality": reduce(DataFrame.unionByName, [K.relationship_status(tables, e) for e in edges]),
+        "join_quality": K.relationship_status(tables, tuple(edges)),
         "discovered_joins": K.discover_joins(tables),
         "security_review": P.pii_columns(P.columns_frame(quality.sparkSession, {t: d.columns for t, d in tables.items()})),
     }
@@ -99,7 +99,7 @@ def feasibility(tables: dict[str, DataFrame], miss: str = "PARTIAL") -> DataFram
             add(f"{subject} records", tables[table].agg(F.count(F.lit(1)).alias("n")), "n")
             if "customers" in tables:
                 edge = (table, "customer_id", "customers", "customer_id")
-                add(f"{subject}/customer join", K.relationship_status(tables, edge), "match_rate_pct")
+                add(f"{subject}/customer join", K.relationship_status(tables, (edge,)), "match_rate_pct")
     if "call_center_interactions" in tables:
         found = W.relevant_reasons(tables["call_center_interactions"])
         add("transaction-related interactions", found, "transaction_related")

@@ -25,13 +25,15 @@ def test_fk_profile_without_keys_is_unknown_not_zero(frame):
 
 def test_relationship_without_keys_is_likely_only(frame):
     t = {"c": frame("k", [("",)]), "p": frame("k", [("x",)])}
-    r = K.relationship_status(t, ("c", "k", "p", "k")).first()
+    r = K.relationship_status(t, (("c", "k", "p", "k"),)).first()
     assert (r.match_rate_pct, r.status) == (0.0, "LIKELY RELATIONSHIP")
 
 
 def test_missing_table_is_missing_evidence(frame):
-    r = K.fk_row_profile({"c": frame("k", [("a",)])}, ("c", "k", "p", "k")).first()
-    assert (r.status, r.child_rows) == ("MISSING EVIDENCE", None)
+    t = {"c": frame("k", [("a",), ("a",), ("",)]), "d": frame("k", [("a",)])}
+    rows = {r.parent_table: r for r in K.fk_row_profiles(t, (("c", "k", "p", "k"), ("c", "k", "d", "k"))).collect()}
+    assert (rows["p"].status, rows["p"].child_rows) == ("MISSING EVIDENCE", None)
+    assert (rows["d"].child_rows, rows["d"].matched_rows, rows["d"].orphan_rows, rows["d"].null_rows) == (3, 2, 0, 1)
 
 
 def test_reconciliation_counts_pairs(frame):
