@@ -196,6 +196,8 @@ def temporal_profile(
     compared = F.col("compared")
 
     partitioned = F.col("py").isNotNull()
+    day_text = F.format_string("%04d-%02d-%02d", "py", "pm", F.coalesce("pd", F.lit(1)))
+    partition_day = F.when(partitioned & F.col("pm").isNotNull(), day_text.try_cast("date"))
     zero = F.lit(0)
     wide = cells.agg(
         F.min("lo").alias("event_min"),
@@ -204,6 +206,9 @@ def temporal_profile(
         F.coalesce(F.sum("future"), zero).alias("future"),
         F.coalesce(F.sum("malformed"), zero).alias("malformed"),
         F.count_distinct(F.when(partitioned, F.struct("py", "pm", "pd"))).alias("partition_dates"),
+        F.min(partition_day).alias("first_partition"),
+        F.max(partition_day).alias("last_partition"),
+        F.count_distinct(partition_day).alias("partition_days"),
         F.coalesce(F.sum("aligned"), zero).alias("aligned"),
         F.coalesce(F.sum("mismatched"), zero).alias("mismatched"),
         rows_where(compared.isNotNull() & timed, "both_timestamp"),
@@ -215,10 +220,8 @@ def temporal_profile(
         F.min("lag_min").alias("lag_min"),
         F.max("lag_max").alias("lag_max"),
     )
-    partition_day = F.format_string("%04d-%02d-%02d", "py", "pm", F.coalesce("pd", F.lit(1))).try_cast("date")
-    has_month = F.col("py").isNotNull() & F.col("pm").isNotNull()
-    gaps = missing_days(cells.select(F.when(has_month, partition_day).alias("day")), "day")
-    wide = wide.withColumn("missing_partition_dates", gaps.agg(F.count(F.lit(1)).alias("n")).scalar())
+    days_between = F.datediff("last_partition", "first_partition") + 1
+    wide = wide.withColumn("missing_partition_dates", days_between - F.col("partition_days"))
     if process:
         lags = parsed.select(C.lag_seconds("p", "e", timed).alias("lag"))
         wide = wide.withColumn("lag_median", exact_median(lags, "lag").scalar())
