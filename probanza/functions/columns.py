@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -15,7 +16,7 @@ WHITE_SPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 _WORD = r"\p{L}\p{N}_"
-_BOUNDARY = rf"(?:(?<=[{_WORD}])(?![{_WORD}])|(?<![{_WORD}])(?=[{_WORD}]))"
+_WORD_START, _WORD_END = rf"(?<![{_WORD}])", rf"(?![{_WORD}])"
 _SPACE = r"[\x09-\x0d\x1c-\x20\x85\p{Z}]"
 
 
@@ -80,8 +81,12 @@ def contains_folded(needle: str, *cols: Column | str) -> Column:
 
 
 def unicode_pattern(pattern: str) -> str:
-    """A pattern whose case, word edges and spaces follow Unicode on every Java version."""
-    return "(?iu)" + pattern.replace(r"\b", _BOUNDARY).replace(r"\s", _SPACE)
+    """A pattern whose case, word edges and spaces follow Unicode on every Java version.
+
+    A word edge must touch a word in the pattern: it starts one when a letter or a group follows.
+    """
+    edged = re.sub(r"\\b(?=[\w(])", lambda _: _WORD_START, pattern).replace(r"\b", _WORD_END)
+    return "(?iu)" + edged.replace(r"\s", _SPACE)
 
 
 def matches(c: Column | str, pattern: str) -> Column:

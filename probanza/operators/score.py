@@ -46,14 +46,18 @@ def last_record_wins(df: DataFrame, key: str, order: list[str], keep_blank: bool
 
 # --- per case -------------------------------------------------------------------------------------
 def join_predictions(cases: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Cases with their prediction; an absent one is all empty. Both sides hold one row per case id."""
+    """Cases with their prediction; an absent one is all empty, a case without an id is no case.
+
+    Both sides hold one row per case id, as the keyed load leaves them.
+    """
     expected = [
         (C.strip(c) if c in cases.columns else F.lit("")).alias(c) for c in vocab.CHALLENGE_CASE_COLUMNS
     ]
     predicted = [
         (C.strip(c) if c in predictions.columns else F.lit("")).alias(c) for c in vocab.PREDICTION_COLUMNS
     ]
-    joined = cases.select(*expected).join(predictions.select(*predicted), "case_id", "left")
+    known = cases.select(*expected).filter("case_id <> ''")
+    joined = known.join(predictions.select(*predicted), "case_id", "left")
     return joined.na.fill("", list(vocab.PREDICTION_COLUMNS[1:]))
 
 

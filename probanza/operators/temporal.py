@@ -20,9 +20,18 @@ def exact_median(df: DataFrame, value: str, by: list[str] | None = None, width:
     (one per day for seconds) show which buckets hold the middle rows; only the values inside those
     are ranked.
     """
-    by = by or []
+    return median_of_counts(value_counts(df, value, by), by, width)
+
+
+def value_counts(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+    """(v, n): rows per value and group; NULL weighs nothing."""
     v = F.col(value).cast("bigint")
-    counts = df.groupBy(*by, v.alias("v")).agg(F.count(v).alias("n"))  # NULL weighs nothing
+    return df.groupBy(*(by or []), v.alias("v")).agg(F.count(v).alias("n"))
+
+
+def median_of_counts(counts: DataFrame, by: list[str] | None = None, width: int = 86_400) -> DataFrame:
+    """Exact median of counted values (v, n)."""
+    by = by or []
     bucket = F.floor(F.col("v") / width).alias("bucket")
     buckets = counts.groupBy(*by, bucket).agg(F.sum("n").alias("in_bucket"))
     whole = Window.partitionBy(*by)
@@ -136,10 +145,11 @@ def ordering_tally(df: DataFrame, process: str, event: str) -> DataFrame:
 def lag_profile(df: DataFrame, process: str, event: str) -> DataFrame:
     """Smallest, largest and median lag in seconds, granularity-aware."""
     lags = process_event(df, process, event).select(C.lag_seconds("p", "e", F.col("timed")).alias("lag"))
-    median = exact_median(lags, "lag").scalar()
-    return lags.agg(F.min("lag").alias("lag_min"), F.max("lag").alias("lag_max")).select(
-        "lag_min", "lag_max", median.alias("lag_median")
-    )
+    counts = value_counts(lags, "lag")
+    # Rows are asked for as well, so that both uses of the counts share one shuffle.
+    ends = counts.agg(F.min("v").alias("lag_min"), F.max("v").alias("lag_max"), F.sum("n").alias("rows"))
+    median = median_of_counts(counts).scalar()
+    return ends.select("lag_min", "lag_max", F.when(F.col("rows") > 0, median).alias("lag_median"))
 
 
 def partition_alignment(df: DataFrame, event: str, path: str) -> DataFrame:
@@ -288,17 +298,8 @@ def entity_days(df: DataFrame, entity: str, event: Column) -> DataFrame:
     )
 
 
-def repeat_structure(entities: DataFrame) -> DataFrame:
-    """Entities, rows beyond each one's first, and entities with several rows."""
-    return entities.agg(
-        F.count(F.lit(1)).alias("unique_entities"),
-        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated_rows"),
-        C.count_where(F.col("n") > 1).alias("entities_with_multiple_rows"),
-    )
-
-
-def tertile_overlap(entities: DataFrame) -> DataFrame:
-    """Entities per simulated calendar tertile, and those that count as spanning several.
+def entity_summary(entities: DataFrame) -> DataFrame:
+    """Repetition of entities and their spread over simulated calendar tertiles, in one aggregate.
 
     As published, an entity that stays inside the middle tertile also counts as spanning; it is
     reported apart as ``middle_only`` as well.
@@ -310,8 +311,15 @@ def tertile_overlap(entities: DataFrame) -> DataFrame:
     train, holdout = F.col("last_day") <= cut1, F.col("first_day") > cut2
     middle = (F.col("first_day") > cut1) & (F.col("last_day") <= cut2)
     return entities.select(
-        train.alias("train"), (~train & holdout).alias("holdout"), (~train & ~holdout).alias("spans"), middle.alias("middle")
+        "n",
+        train.alias("train"),
+        (~train & holdout).alias("holdout"),
+        (~train & ~holdout).alias("spans"),
+        middle.alias("middle"),
     ).agg(
+        F.count(F.lit(1)).alias("unique_entities"),
+        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated_rows"),
+        C.count_where(F.col("n") > 1).alias("entities_with_multiple_rows"),
         C.count_where(F.col("train")).alias("train_only"),
         C.count_where(F.col("holdout")).alias("holdout_only"),
         C.count_where(F.col("spans")).alias("spanning"),
@@ -319,6 +327,16 @@ def tertile_overlap(entities: DataFrame) -> DataFrame:
     )
 
 
+def repeat_structure(entities: DataFrame) -> DataFrame:
+    """Entities, rows beyond each one's first, and entities with several rows."""
+    return entity_summary(entities).select("unique_entities", "repeated_rows", "entities_with_multiple_rows")
+
+
+def tertile_overlap(entities: DataFrame) -> DataFrame:
+    """Entities per simulated calendar tertile, and those that count as spanning several."""
+    return entity_summary(entities).select("train_only", "holdout_only", "spanning", "middle_only")
+
+
 def split_cutoffs(df: DataFrame, event: Column, shares: tuple[float, ...] = (0.70, 0.85)) -> DataFrame:
     """First and last instant and the instants at the given shares of the span."""
     span = df.select(event.alias("e")).agg(

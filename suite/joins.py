@@ -384,7 +384,7 @@ def customer_wide_resolution(spark, sf):
     "j16_case_prediction",
     with_tables("cases", "answers")
     + """SELECT trim(c.case_id) AS case_id, c.expected_action, coalesce(a.predicted_action, '') AS predicted_action
-    FROM cases c LEFT JOIN answers a ON a.case_id = trim(c.case_id)""",
+    FROM cases c LEFT JOIN answers a ON a.case_id = trim(c.case_id) WHERE trim(c.case_id) <> ''""",
 )
 def case_prediction(spark, sf):
     t = tables(spark, sf, "cases", "answers")

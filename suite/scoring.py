@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from probanza.functions import vocab
-from probanza.functions import columns as C
 from probanza.operators import cases as E
 from probanza.operators import decide as D
 from probanza.operators import score as R
@@ -173,8 +172,7 @@ _SCORED_SQL = with_tables("cases", "answers") + _JUDGED_SQL
 def checked(spark, sf):
     """Non-blank cases with their prediction, checks and failures."""
     t = tables(spark, sf, "cases", "answers")
-    cases = t["cases"].filter(C.strip("case_id") != "")
-    return R.checked_cases(R.join_predictions(cases, t["answers"]))
+    return R.checked_cases(R.join_predictions(t["cases"], t["answers"]))
 
 
 @register("e07_should_answer", _SCORED_SQL + "SELECT case_id, sa AS should_answer, er <> '' AS has_resolution FROM k")
