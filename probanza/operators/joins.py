@@ -12,11 +12,11 @@ HOT_ROWS = 1_000_000
 SALTS = 64
 
 
-def hot_keys(rows: DataFrame, on: list[str], share: float = HOT_SHARE, min_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys that hold more than ``share`` of the rows; there can be at most ``1 / share`` of them."""
+def hot_keys(rows: DataFrame, on: list[str], share: float = HOT_SHARE, min_rows: int | None = None) -> DataFrame:
+    """Keys with more than ``share`` of the rows (at most ``1 / share`` of them) that are worth splitting."""
     counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
     total = counts.agg(F.sum("_rows").alias("rows")).scalar()
-    heavy = (F.col("_rows") > total * share) & (F.col("_rows") > min_rows)
+    heavy = (F.col("_rows") > total * share) & (F.col("_rows") > (HOT_ROWS if min_rows is None else min_rows))
     return counts.filter(heavy).select(*on)
 
 
@@ -27,7 +27,7 @@ def lookup_join(
     how: str = "left",
     keys_from: DataFrame | None = None,
     share: float = HOT_SHARE,
-    min_rows: int = HOT_ROWS,
+    min_rows: int | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
     """Join ``fact`` to ``dim``, which has one row (or few) per key.

@@ -214,7 +214,7 @@ def example_values(df: DataFrame, columns: list[str] | None = None, k: int = 3,
     ranked = shortened.filter(F.col("value").isNotNull()).withColumn(
         "rank", F.row_number().over(Window.partitionBy("column_name").orderBy("value"))
     )
-    return ranked.filter(F.col("rank") <= k).select("column_name", "rank", "value")
+    return ranked.filter(F.col("rank") <= k).select("column_name", F.col("rank").cast("bigint").alias("rank"), "value")
 
 
 def protected_distinct(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -342,4 +342,6 @@ def distribution(df: DataFrame, dataset: str, columns: list[str], family: str =
 def top_categories(counts: DataFrame, by: list[str], k: int) -> DataFrame:
     """The k most frequent categories per field, ties by category."""
     order = Window.partitionBy(*by).orderBy(F.desc("rows"), F.asc("category"))
-    return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumn(
+        "rank", F.col("rank").cast("bigint")
+    )

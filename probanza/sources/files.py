@@ -128,7 +128,7 @@ def representative_files(listing: DataFrame) -> DataFrame:
     order = Window.partitionBy("dataset").orderBy(*parts, F.col("relative_path"))
     whole = Window.partitionBy("dataset")
     placed = listing.select(
-        "*", F.row_number().over(order).alias("place"), F.count(F.lit(1)).over(whole).alias("files")
+        "*", F.row_number().over(order).cast("bigint").alias("place"), F.count(F.lit(1)).over(whole).alias("files")
     )
     middle = F.floor(F.col("files") / 2) + 1
     return placed.filter((F.col("place") == 1) | (F.col("place") == middle) | (F.col("place") == F.col("files")))
@@ -147,7 +147,7 @@ def capped_files(listing: DataFrame, cap: int) -> DataFrame:
     order = Window.partitionBy("dataset").orderBy("relative_path")
     placed = listing.select(
         "*",
-        F.row_number().over(order).alias("place"),
+        F.row_number().over(order).cast("bigint").alias("place"),
         F.count(F.lit(1)).over(Window.partitionBy("dataset")).alias("available_files"),
     )
     return placed.filter(F.col("place") <= cap).withColumn("rows_are_sampled", F.col("available_files") > cap)

@@ -51,7 +51,7 @@ def first_middle_last(spark, sf):
     whole = Window.partitionBy("event_type")
     placed = days.select(
         "*",
-        F.row_number().over(whole.orderBy("day")).alias("place"),
+        F.row_number().over(whole.orderBy("day")).cast("bigint").alias("place"),
         F.count(F.lit(1)).over(whole).alias("days"),
     )
     middle = F.floor(F.col("days") / 2) + 1
