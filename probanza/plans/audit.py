@@ -145,6 +145,5 @@ def schema_recon(spark: SparkSession, root: str, rows_per_file: int = 40) -> Dat
     )
 
 
-def write(artifacts: dict[str, DataFrame], reports_root: str) -> None:
-    for name, df in artifacts.items():
-        sinks.write_csv(df, f"{reports_root}/{name}")
+def write(spark: SparkSession, artifacts: dict[str, DataFrame], reports_root: str) -> None:
+    sinks.write_artifacts(spark, artifacts, reports_root)

@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "probanza") -> SparkSession:
     """A local session for tests and the bench; clusters bring their own."""
@@ -48,3 +54,10 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def side_by_side(spark: SparkSession, actions: Iterable[Callable[[], T]], at_once: int = 8) -> list[T]:
+    """Run independent Spark actions from several driver threads; the first error is raised."""
+    with ThreadPoolExecutor(max_workers=at_once) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(action)) for action in actions]
+        return [r.result() for r in running]

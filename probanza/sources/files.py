@@ -104,13 +104,11 @@ def input_fingerprint(listing: DataFrame, separator: str = "") -> DataFrame:
 
 
 def content_hashes(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
-    """SHA-256 of the content of every file."""
-    root = plain_root(root)
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    )
-    relative = F.col("path").substr(F.locate(root, F.col("path")) + len(root) + 1, F.length("path"))
-    return files.select(relative.alias("relative_path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """SHA-256 of the content of every file, read in blocks on the executors."""
+    listing = list_files(spark, root, pattern).select("path", "relative_path", "bytes")
+    spread = listing.select("path").repartition("path")
+    hashed = spread.mapInPandas(_hash_contents, "path string, sha256 string")
+    return listing.join(hashed, "path").drop("path")
 
 
 def artifact_manifest(spark: SparkSession, root: str) -> DataFrame:
@@ -153,29 +151,48 @@ def capped_files(listing: DataFrame, cap: int) -> DataFrame:
     return placed.filter(F.col("place") <= cap).withColumn("rows_are_sampled", F.col("available_files") > cap)
 
 
-# --- headers --------------------------------------------------------------------------------------
+# --- reading files by path ------------------------------------------------------------------------
+def _open(path: str):
+    """Input stream of a listed file."""
+    from pyarrow import fs
+
+    uri = path.replace("s3a://", "s3://", 1)
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri[len("file:"):]
+    filesystem, name = fs.FileSystem.from_uri(uri)
+    return filesystem.open_input_stream(name)
+
+
+def _hash_contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import hashlib
+
+    for batch in batches:
+        digests = []
+        for path in batch["path"]:
+            digest = hashlib.sha256()
+            with _open(path) as stream:
+                while block := stream.read(1 << 20):
+                    digest.update(block)
+            digests.append(digest.hexdigest())
+        yield pd.DataFrame({"path": batch["path"], "sha256": digests})
+
+
 def _read_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """First CSV record of every listed file; only the start of each file is read."""
     import csv
     import io
 
-    from pyarrow import fs
-
     for batch in batches:
         headers = []
         for path in batch["path"]:
-            uri = path.replace("s3a://", "s3://")
-            uri = "file://" + uri[len("file:"):] if uri.startswith("file:/") and not uri.startswith("file://") else uri
-            filesystem, name = fs.FileSystem.from_uri(uri)
-            with filesystem.open_input_stream(name) as raw:
-                text = b""
+            text = b""
+            with _open(path) as stream:
                 while text.count(b'"') % 2 or b"\n" not in text:
-                    block = raw.read(65536)
+                    block = stream.read(1 << 16)
                     if not block:
                         break
                     text += block
-            record = next(csv.reader(io.StringIO(text.decode("utf-8-sig", errors="replace"))), [])
-            headers.append(record)
+            headers.append(next(csv.reader(io.StringIO(text.decode("utf-8-sig", errors="replace"))), []))
         yield pd.DataFrame({"path": batch["path"], "header": headers})
 
 

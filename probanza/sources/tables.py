@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from probanza.functions import columns as C
 from probanza.functions import vocab
 from probanza.operators.score import last_record_wins
-from probanza.session import written
+from probanza.session import side_by_side, written
 from probanza.sources import files as L
 
 SOURCE_FILE = "__source_file"
@@ -122,11 +122,13 @@ def scoped(df: DataFrame, wanted: list[str]) -> DataFrame:
 def scoped_cache(spark: SparkSession, root: str, datasets: dict[str, str] | None = None) -> dict[str, DataFrame]:
     """Every dataset read once, cut to its scoped columns and written as Parquet for reuse."""
     listing = L.list_files(spark, root)
-    tables = {}
-    for name, columns in (datasets or vocab.SCOPED_COLUMNS).items():
+    wanted = datasets or vocab.SCOPED_COLUMNS
+
+    def load(name: str) -> DataFrame:
         rows = read_by_name(spark, listing.filter(F.col("dataset") == name), root)
-        tables[name] = written(scoped(rows, columns.split()), f"scoped-{name}")
-    return tables
+        return written(scoped(rows, wanted[name].split()), f"scoped-{name}")
+
+    return dict(zip(wanted, side_by_side(spark, [partial(load, name) for name in wanted])))
 
 
 # --- samples and widths ---------------------------------------------------------------------------

@@ -78,7 +78,7 @@ def test_whole_audit(spark, data, tmp_path):
     tables = {n: S.read_dataset(spark, str(data), n).drop(S.SOURCE_FILE, *S.PARTITION_COLUMNS) for n in names}
     files = L.dataset_files(L.list_files(spark, str(data)))
     artifacts = A.audit(tables, files, "2026-09-30")
-    A.write(artifacts, str(tmp_path / "out"))
+    A.write(spark, artifacts, str(tmp_path / "out"))
     inventory = {r.dataset: r for r in artifacts["data_inventory"].collect()}
     assert inventory["transactions"].candidate_primary_key == "customer_id,product_id,transaction_id"
     assert (inventory["customers"].rows, inventory["customers"].files, inventory["transactions"].event_like) == (2, 1, True)
