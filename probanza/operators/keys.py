@@ -96,64 +96,63 @@ def candidate_keys(profile: DataFrame) -> DataFrame:
 
 # --- foreign keys ---------------------------------------------------------------------------------
 def edge_facts(tables: dict[str, DataFrame], edges: list[Edge] | tuple[Edge, ...]) -> DataFrame:
-    """One row of counts per edge (child, child key, parent, parent key), all edges in one shuffle.
+    """One row of counts per edge (child, child key, parent, parent key); one shuffle per parent key."""
+    by_parent: dict[tuple[str, str], list[Edge]] = {}
+    for edge in dict.fromkeys(edges):
+        by_parent.setdefault(edge[2:], []).append(edge)
+    return reduce(DataFrame.unionByName, [_facts_of_parent(tables, p, es) for p, es in by_parent.items()])
 
-    Every table is read once: its rows become (target, key, source) cells, one per edge it takes
-    part in, where the target is a parent key and the source an edge or the parent itself. Rows per
-    (target, key) and source combine on the map side; a blank key is counted under NULL and matches
-    nothing.
+
+def _facts_of_parent(tables: dict[str, DataFrame], parent: tuple[str, str], edges: list[Edge]) -> DataFrame:
+    """Counts of all edges to one parent key.
+
+    The key columns of the parent and of all its children become (key, source) rows; rows per key
+    and source combine on the map side. A blank key is counted under NULL and matches nothing.
     """
-    edges = list(dict.fromkeys(edges))
-    targets = list(dict.fromkeys((parent, key) for _, _, parent, key in edges))
-    frames = []
-    for t, df in tables.items():
-        cells = [
-            (targets.index((parent, parent_key)), i, child_key)
-            for i, (child, child_key, parent, parent_key) in enumerate(edges)
-            if child == t
-        ] + [(k, -1, key) for k, (parent, key) in enumerate(targets) if parent == t]
-        if cells:
-            structs = [
-                F.struct(F.lit(k).alias("target"), F.lit(i).alias("source"), C.key_of(F.col(f"`{c}`")).alias("join_key"))
-                for k, i, c in cells
-            ]
-            frames.append(df.select(F.inline(F.array(*structs))))
-    source = F.col("source")
-    per_key = reduce(DataFrame.unionByName, frames).groupBy("target", "join_key").agg(
-        C.count_where(source == -1).alias("parent"),
-        *(C.count_where(source == i).alias(f"child_{i}") for i in range(len(edges))),
+    sources = [parent, *((child, child_key) for child, child_key, _, _ in edges)]
+    stacked = [
+        tables[t].select(C.key_of(F.col(f"`{key}`")).alias("join_key"), F.lit(i).alias("source"))
+        for i, (t, key) in enumerate(sources)
+    ]
+    per_key = reduce(DataFrame.unionByName, stacked).groupBy("join_key").agg(
+        *(C.count_where(F.col("source") == i).alias(f"n{i}") for i in range(len(sources)))
     )
-    known, parent = F.col("join_key").isNotNull(), F.col("parent")
-    totals, rows = [], []
-
-    def count(name: str, condition: Column, weight: Column | None = None) -> Column:
-        total = F.sum(F.when(condition, weight)) if weight is not None else C.count_where(condition)
-        totals.append(F.coalesce(total, F.lit(0)).alias(name))
-        return F.col(name)
-
-    parents = {}
-    for k, _ in enumerate(targets):
-        here = F.col("target") == k
-        parents[k] = {
-            "parent_rows": count(f"pr_{k}", here, parent),
-            "parent_non_null": count(f"pn_{k}", here & known, parent),
-            "parent_distinct": count(f"pd_{k}", here & known & (parent > 0)),
-        }
-    for i, (child, child_key, parent_name, parent_key) in enumerate(edges):
-        k, n = targets.index((parent_name, parent_key)), F.col(f"child_{i}")
-        here = (F.col("target") == k) & known & (n > 0)
-        facts = {
-            "child_rows": count(f"cr_{i}", F.col("target") == k, n),
-            "non_null_child_keys": count(f"cn_{i}", here, n),
-            "distinct_child_keys": count(f"cd_{i}", here),
-            "matched_distinct_keys": count(f"md_{i}", here & (parent > 0)),
-            "matched_rows": count(f"mr_{i}", here & (parent > 0), n),
-            "repeated_child_keys": count(f"rc_{i}", here & (n > 1)),
-            **parents[k],
+    known, held = F.col("join_key").isNotNull(), F.col("n0")
+
+    def rows(name: str, n: Column, condition: Column | None = None) -> Column:
+        counted = n if condition is None else F.when(condition, n)
+        return F.coalesce(F.sum(counted), F.lit(0)).alias(name)
+
+    totals = [
+        rows("parent_rows", held),
+        rows("parent_non_null", held, known),
+        C.count_where(known & (held > 0)).alias("parent_distinct"),
+    ]
+    facts = []
+    for i, edge in enumerate(edges, 1):
+        n = F.col(f"n{i}")
+        here = known & (n > 0)
+        measures = {
+            "child_rows": rows(f"child_rows_{i}", n),
+            "non_null_child_keys": rows(f"non_null_{i}", n, known),
+            "distinct_child_keys": C.count_where(here).alias(f"distinct_{i}"),
+            "matched_distinct_keys": C.count_where(here & (held > 0)).alias(f"matched_{i}"),
+            "matched_rows": rows(f"matched_rows_{i}", n, known & (held > 0)),
+            "repeated_child_keys": C.count_where(known & (n > 1)).alias(f"repeated_{i}"),
         }
-        names = zip(("child_dataset", "child_key", "parent_dataset", "parent_key"), edges[i])
-        rows.append(F.struct(*(F.lit(v).alias(c) for c, v in names), *(v.alias(c) for c, v in facts.items())))
-    return per_key.agg(*totals).select(F.inline(F.array(*rows)))
+        names = zip(("child_dataset", "child_key", "parent_dataset", "parent_key"), edge)
+        totals += measures.values()
+        columns = ("child_rows", "non_null", "distinct", "matched", "matched_rows", "repeated")
+        facts.append(
+            F.struct(
+                *(F.lit(v).alias(c) for c, v in names),
+                *(F.col(f"{c}_{i}").alias(m) for c, m in zip(columns, measures)),
+                "parent_rows",
+                "parent_non_null",
+                "parent_distinct",
+            )
+        )
+    return per_key.agg(*totals).select(F.inline(F.array(*facts)))
 
 
 def _usable(tables: dict[str, DataFrame], edge: Edge) -> bool:
