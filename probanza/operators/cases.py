@@ -63,11 +63,11 @@ def _explicit_type(text: Column) -> Column:
 def native_cases(transcripts: DataFrame, interactions: DataFrame, products: DataFrame) -> DataFrame:
     """Transcripts that ask for the balance of a named product in a transactional interaction."""
     text = C.strip("customer_text")
-    asked = transcripts.select(
+    asked = transcripts.filter(C.matches("customer_text", vocab.NATIVE_BALANCE)).select(
         *(C.strip(c).alias(c) for c in ("transcript_id", "interaction_id", "customer_id", "process_date")),
         text.alias("customer_text"),
         _explicit_type(text).alias("expected_product_type"),
-    ).filter((F.col("expected_product_type") != "") & C.matches("customer_text", vocab.NATIVE_BALANCE))
+    ).filter(F.col("expected_product_type") != "")
     reasons = interactions.select(
         C.strip("interaction_id").alias("interaction_id"),
         ((C.strip("reason_category") == vocab.TRANSACTIONAL_REASON) | (C.strip("contact_reason") == vocab.TRANSACTIONAL_REASON)).alias("hit"),
@@ -84,7 +84,8 @@ def native_cases(transcripts: DataFrame, interactions: DataFrame, products: Data
         F.initcap("found.was_resolved").alias("historical_was_resolved"),
         F.initcap("found.was_escalated").alias("historical_was_escalated"),
     )
-    return with_expected(cases, products).select(*vocab.NATIVE_CASE_COLUMNS)
+    # Written once, so that the texts are searched once however often the cases are read below.
+    return with_expected(written(cases, "native-cases"), products).select(*vocab.NATIVE_CASE_COLUMNS)
 
 
 # --- curated cases --------------------------------------------------------------------------------
