@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from probanza.llm import language_id, packing, quality
+from probanza.llm import language_id, mixing, near_duplicates, packing, quality
 from probanza.llm.queries import END_ID
 from probanza.llm.texts import stored
 
@@ -28,6 +28,16 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return language_id.identify(docs, language_id.learn(docs)).filter("lang_pred <> 'und' AND score > 0").select("row.*")
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of texts with a five-word Jaccard of 0.8 or more, directly or through others."""
+    return near_duplicates.one_per_group(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in the order of the mixture of their sources."""
+    return mixing.in_order(mixing.mixed(docs)).select("row.*")
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All tokens of all documents as pieces of sequences."""
     return packing.packing_report(packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID))
@@ -36,6 +46,8 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES: list[tuple[str, Stage]] = [
     ("quality rules", quality_stage),
     ("language ID", language_stage),
+    ("near duplicates", near_duplicate_stage),
+    ("mixing sources", mixing_stage),
     ("packing", packing_stage),
 ]
 

@@ -45,11 +45,11 @@ def _covered(windows: Column) -> Column:
     return F.aggregate(windows, zero, step, lambda a: a["total"])
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """``row`` (all columns of the input), language, source and the measures of every whole text."""
+def measured(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """``row`` (the columns to carry, else all), language, source and the measures of every whole text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("row"),
         F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), text.alias("text"),
     )
     count = lambda chars: F.length("text") - F.length(F.translate("text", chars, ""))
@@ -126,9 +126,9 @@ def thresholds(counts: DataFrame) -> DataFrame:
     return joined.select("lang", "source", F.coalesce("own", "by_lang", "every").alias("fence")).select("lang", "source", "fence.*")
 
 
-def judged(docs: DataFrame) -> DataFrame:
+def judged(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """``row``, the measures, base_failed and kept of every document."""
-    rows = stored(measured(docs), "quality")
+    rows = stored(measured(docs, carry), "quality")
     fences = stored(thresholds(sketches(rows)), "fences").select(
         F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[f"{e}_{r}" for r in SLACK for e in ("lo", "hi")]
     )
@@ -142,4 +142,4 @@ def judged(docs: DataFrame) -> DataFrame:
 
 def quality(docs: DataFrame) -> DataFrame:
     """doc_id, the measures, base_failed and kept of every document."""
-    return judged(docs.select("doc_id", "lang", "source", "text")).select("row.doc_id", *_MEASURES, "base_failed", "kept")
+    return judged(docs, ["doc_id"]).select("row.doc_id", *_MEASURES, "base_failed", "kept")

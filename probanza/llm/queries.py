@@ -7,11 +7,31 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from probanza.llm import language_id, packing, quality, token_counts, token_output
+from probanza.llm import (
+    fingerprint,
+    language_id,
+    licenses,
+    mixing,
+    near_duplicates,
+    packing,
+    quality,
+    token_counts,
+    token_output,
+    url_filter,
+)
 
 #: The end id that follows each document in packed and written token streams.
 END_ID = 2
 
+#: The rules of the URL filter, by host and path prefix.
+URL_RULES = {
+    "com/": "allow",
+    "example.com/en/": "block",
+    "www.example.com/en/": "allow",
+    "net/es/": "block",
+    "net/fr/": "block",
+}
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,22 +46,46 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(_table(spark, sf_dir, "documents"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_filter(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_report(_table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return packing.packing_report(packing.packed(_table(spark, sf_dir, "documents"), path, END_ID))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return token_output.round_trip(_table(spark, sf_dir, "documents"), path, END_ID)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_language_id, op4_quality_rules, op8_packing, op10_token_output)
+    f.__name__: f
+    for f in (
+        op1_token_counts, op2_language_id, op3_url_filter, op4_quality_rules, op5_fingerprints, op6_license_scan, op7_mixing,
+        op8_packing, op9_ngram_jaccard_join, op10_token_output,
+    )
 }
 
 SQL: dict[str, str] = {}
