@@ -78,9 +78,13 @@ def target_weights(sizes: dict[str, int], weights: dict[str | None, float] | Non
 
 
 def mixed(
-    docs: DataFrame, weights: dict[str | None, float] | None = None, block_docs: int = BLOCK_DOCS, frame: int = FRAME
+    docs: DataFrame,
+    weights: dict[str | None, float] | None = None,
+    block_docs: int = BLOCK_DOCS,
+    frame: int = FRAME,
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """``row`` (the input's columns), source_block, slot and place: the mixture is ordered by slot, then place."""
+    """``row`` (the columns to carry, else all), source_block, slot and place: the mixture is ordered by slot, then place."""
     spark = docs.sparkSession
     sizes = {r["s"]: r["n"] for r in docs.groupBy(_name(F.col("source")).alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}
     names = sorted(sizes)
@@ -90,10 +94,10 @@ def mixed(
     plan = [{"s2": names[i], "k2": k, "t": t} for t, (i, k) in enumerate(schedule(per_frame))]
     slots = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(plan)), "array<struct<s2:string,k2:long,t:long>>")))
 
-    bits = max(4, math.ceil(math.log2(max(1, sum(sizes.values()) / BUCKET_DOCS))))
+    bits = max(8, math.ceil(math.log2(max(1, sum(sizes.values()) / BUCKET_DOCS))))
     hashed = F.xxhash64(F.lit(17), F.col("doc_id"), F.col("text"))
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _name(F.col("source")).alias("s"), hashed.alias("h"),
+        F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("row"), _name(F.col("source")).alias("s"), hashed.alias("h"),
         F.col("doc_id").alias("id"),
     ).withColumn("b", F.shiftrightunsigned("h", 64 - bits))
     counts = rows.groupBy("s", "b").agg(F.count(F.lit(1)).alias("n"))
@@ -123,5 +127,4 @@ def in_order(mixture: DataFrame) -> DataFrame:
 
 def mixing_report(docs: DataFrame, weights: dict[str | None, float] | None = None) -> DataFrame:
     """doc_id, source, source_block, slot and place of every document, in the order of the mixture."""
-    rows = docs.select("doc_id", "source", F.col("text").cast("string").alias("text"))
-    return in_order(mixed(rows, weights).select("row.doc_id", "row.source", "source_block", "slot", "place"))
+    return in_order(mixed(docs, weights, carry=["doc_id", "source"]).select("row.doc_id", "row.source", "source_block", "slot", "place"))
