@@ -21,6 +21,23 @@ _ODD_SPACE = re.compile("[\x00-\x09\x0b-\x1f\x7f-\xa0 ᠎ -‏ -  -⁯
 #: Characters whose lower case and normal form do not depend on their neighbours are kept in the cut path.
 _NOT_LATIN = re.compile("[^\x0a\x20-\x7eÀ-įı-ɏ]")
 _RUNS = re.compile("[ \n]*[^ \n]+|[ \n]+")
+#: A word of Latin letters, then ASCII marks other than the apostrophe: two pre-tokens in both families.
+_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@[-`{-~]*)$")
+
+
+def byte_symbols() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies, as a translation of Latin-1."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or (161 <= b and b != 173)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+_SYMBOLS = byte_symbols()
+
+
+def pre_token_ids(tokenizer: Tokenizer, piece: str) -> list[int]:
+    """Ids of one pre-token by the library's model alone, which is far cheaper than a whole call."""
+    return [t.id for t in tokenizer.model.tokenize(piece.encode("utf-8").decode("latin-1").translate(_SYMBOLS))]
 
 
 class Encoder:
@@ -35,8 +52,20 @@ class Encoder:
     def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _marks(self, marks: str) -> bytes:
+        return self.cache[f"\x01{marks}"]
+
     def _piece_ids(self, key: str) -> bytes:
-        """A key is a word that follows one space, or begins with a line feed, or has \\x00 before the piece as it is."""
+        """A key is a word that follows one space, or begins with a line feed, or has \\x00 or \\x01 before the piece as it is.
+
+        After \\x01 the piece is one pre-token.
+        """
+        if key.startswith("\x01"):
+            return np.array(pre_token_ids(self.tokenizer, key[1:]), dtype="<u4").tobytes()
+        word = _WORD.match(key)
+        if word:
+            own = pre_token_ids(self.tokenizer, word[1] if self.folds else " " + word[1])
+            return np.array(own, dtype="<u4").tobytes() + (self._marks(word[2]) if word[2] else b"")
         if self.folds or key.startswith("\n"):
             return self._library(key)
         return self._library(key[1:] if key.startswith("\x00") else " " + key)

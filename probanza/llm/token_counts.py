@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from probanza.llm.encode import pre_token_ids
 from probanza.llm.texts import Cache, blocks
 
 #: Most entries of the broadcast table; about 20 bytes each.
@@ -39,7 +40,7 @@ class PieceCounter:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split = regex.compile(pattern).findall
-        self.lengths = Cache(self.encoded, frequent)
+        self.lengths = Cache(lambda piece: len(pre_token_ids(self.tokenizer, piece)), frequent)
 
     def encoded(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -110,7 +111,7 @@ def token_counts(
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     frequent = frequent_pieces(docs, tokenizer_path, pattern, hot_size)
     tokenizer = Tokenizer.from_file(tokenizer_path)
-    lengths = [len(tokenizer.encode(p, add_special_tokens=False).ids) for p in frequent]
+    lengths = [len(pre_token_ids(tokenizer, p)) for p in frequent]
     table = spark.sparkContext.broadcast((frequent, np.array(lengths, dtype=np.uint16)))
 
     def run(batches):

@@ -4,16 +4,17 @@
 tokens; an end id follows. Ids are counted over all documents, and an id is written as its rank by
 count (ties: smaller id first), so that frequent ids take one byte.
 
-**File.** ``data-*.tvb`` holds blocks of whole documents in ascending ``doc_id`` (nulls last; equal
-ids by text). A block of n ranks has ceil(n / 4) control bytes (two bits a rank, the lowest first:
-its number of data bytes less one; unused places are 0), then the data bytes, each rank's low byte
-first. The reader looks up each control byte in a table of four lengths and gathers all ranks of a
-block at once.
-
-**Tables.** ``blocks`` (one row a block: file, offset, n_docs, n_ids, doc ids and lengths) and
-``ranks`` (rank to id) are Parquet. A task writes its file under a name of its own and hands over
-its block rows; Spark commits those, so a file of a task that was lost or repeated is never read.
-Files are written by path through ``pyarrow.fs`` (local, HDFS, S3, GCS); input is read by Spark.
+**File.** ``data-*.tvb`` holds a stream per document in ascending ``doc_id`` (nulls last; equal
+ids by content). A stream of n ranks has ceil(n / 4) control bytes (two bits a rank, the lowest
+first: its number of data bytes less one; unused places are 0), then the data bytes, each rank's
+low byte first. The reader looks up each control byte in a table of four lengths and gathers all
+ranks of a stream at once. Streams are coded before they are sorted, so few bytes are shuffled.
+
+**Tables.** ``blocks`` (one row for about ``BLOCK_BYTES`` of streams: file, offset, size, ids
+before it in the file, and each document's id, length and bytes) and ``ranks`` (rank to id) are
+Parquet. A task writes its file under a name of its own and hands over its block rows; Spark
+commits those, so a file of a task that was lost or repeated is never read. Files are written and
+read by path through ``pyarrow.fs`` (local, HDFS, S3, GCS); input is read by Spark.
 
 Repeated rows are written once each; an empty table gives no files and no rows. Other columns of
 the input are ignored.
@@ -22,7 +23,6 @@ the input are ignored.
 from __future__ import annotations
 
 import uuid
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +34,13 @@ from probanza.llm.encode import encoder
 from probanza.llm.texts import blocks
 from probanza.session import scratch_path
 
-#: Ids of one block; a longer document is a block of its own.
-BLOCK_IDS = 1 << 18
+#: Bytes of one block; a longer stream is a block of its own.
+BLOCK_BYTES = 1 << 19
 
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + np.uint8(1)
 
 
-def encode_block(ranks: np.ndarray) -> bytes:
+def encode_ranks(ranks: np.ndarray) -> bytes:
     """Control bytes, then data bytes, of unsigned 32-bit ranks."""
     size = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     padded = np.zeros(-(-len(ranks) // 4) * 4, dtype=np.uint8)
@@ -51,8 +51,8 @@ def encode_block(ranks: np.ndarray) -> bytes:
     return control.astype(np.uint8).tobytes() + data.tobytes()
 
 
-def decode_block(payload: bytes, n: int) -> np.ndarray:
-    """The ``n`` ranks of a block."""
+def decode_ranks(payload: bytes, n: int) -> np.ndarray:
+    """The ``n`` ranks of a stream."""
     n_control = -(-n // 4)
     payload = np.frombuffer(payload, dtype=np.uint8)
     size = _LENGTHS[payload[:n_control]].reshape(-1)[:n]
@@ -112,104 +112,107 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int)
     encoded(docs, tokenizer_path, end_id).write.option("compression", "zstd").parquet(staged)
     ids = spark.read.parquet(staged)
     rank_table(ids).write.parquet(f"{folder}/ranks")
-    table = spark.sparkContext.broadcast(_rank_of(spark, folder))
+    found = _ids_by_rank(spark, folder)
+    rank_of = np.zeros(int(found.max(initial=0)) + 1, dtype=np.uint32)
+    rank_of[found] = np.arange(len(found), dtype=np.uint32)
+    table = spark.sparkContext.broadcast(rank_of)
 
-    def run(batches):
+    def code(batches):
+        for batch in batches:
+            coded = [encode_ranks(table.value[np.frombuffer(i.as_py(), dtype="<u4")]) for i in batch.column("ids")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), pa.array(coded, pa.binary())], names=["doc_id", "n", "coded"])
+
+    def write(batches):
         from pyspark import TaskContext
 
-        ranks, part = table.value, TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         place, path = _open(folder)
-        name = f"data-{part:06d}-{uuid.uuid4().hex}.tvb"
-        at, sink, held, size, no = 0, None, [], 0, 0
-
-        def flush():
-            nonlocal at, sink, held, size, no
-            if sink is None:
-                place.create_dir(path, recursive=True)
-                sink = place.open_output_stream(f"{path}/{name}")
-            payload = encode_block(ranks[np.concatenate([np.frombuffer(i, dtype="<u4") for _, i in held])])
-            sink.write(payload)
+        name, sink = f"data-{part:06d}-{uuid.uuid4().hex}.tvb", None
+        at = before = 0
+        held: list[tuple] = []
+        size = 0
+
+        def block():
+            nonlocal at, before, held, size
+            sink.write(b"".join(c for _, _, c in held))
+            doc_ids, lengths, coded = zip(*held, strict=True)
             row = {
-                "part": part, "block": no, "file": name, "offset": at, "size": len(payload), "n_ids": size,
-                "doc_ids": [d for d, _ in held], "lengths": [len(i) // 4 for _, i in held],
+                "part": part, "file": name, "offset": at, "size": size, "before": before, "n_ids": sum(lengths),
+                "doc_ids": doc_ids, "lengths": lengths, "sizes": [len(c) for c in coded],
             }
-            at, held, size, no = at + len(payload), [], 0, no + 1
+            at, before, held, size = at + size, before + row["n_ids"], [], 0
             return pa.RecordBatch.from_pylist([row], schema=_BLOCK_SCHEMA)
 
         for batch in batches:
-            for doc_id, value in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
-                value = value.as_py()
-                if held and size + len(value) // 4 > BLOCK_IDS:
-                    yield flush()
-                held.append((doc_id, value))
-                size += len(value) // 4
+            for doc_id, n, coded in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "coded")), strict=True):
+                if sink is None:
+                    place.create_dir(path, recursive=True)
+                    sink = place.open_output_stream(f"{path}/{name}")
+                if held and size + len(coded) > BLOCK_BYTES:
+                    yield block()
+                held.append((doc_id, n, coded))
+                size += len(coded)
         if held:
-            yield flush()
+            yield block()
         if sink is not None:
             sink.close()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = ids.withColumn("tie", F.xxhash64("ids")).repartitionByRange(parts, F.col("doc_id").asc_nulls_last(), "tie")
-    ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "tie").select("doc_id", "ids")
-    ordered.mapInArrow(run, _BLOCKS).write.parquet(f"{folder}/blocks")
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("coded").asc()]
+    coded = ids.mapInArrow(code, "doc_id long, n long, coded binary")
+    coded.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(write, _BLOCKS).write.parquet(f"{folder}/blocks")
 
 
-_BLOCKS = "part long, block long, file string, offset long, size long, n_ids long, doc_ids array<long>, lengths array<long>"
-_BLOCK_SCHEMA = pa.schema(
-    [(n, pa.int64()) for n in ("part", "block")] + [("file", pa.string())]
-    + [(n, pa.int64()) for n in ("offset", "size", "n_ids")] + [(n, pa.list_(pa.int64())) for n in ("doc_ids", "lengths")]
+_BLOCKS = (
+    "part long, file string, offset long, size long, before long, n_ids long, "
+    "doc_ids array<long>, lengths array<long>, sizes array<long>"
 )
+_BLOCK_SCHEMA = pa.schema([
+    (name, pa.string() if kind == "string" else pa.list_(pa.int64()) if kind.startswith("array") else pa.int64())
+    for name, kind in (c.split() for c in _BLOCKS.split(", "))
+])
 
 
-def _rank_of(spark: SparkSession, folder: str) -> np.ndarray:
-    """Rank by id; at most the vocabulary."""
+def _ids_by_rank(spark: SparkSession, folder: str) -> np.ndarray:
+    """The id of every rank; at most the vocabulary."""
     rows = spark.read.parquet(f"{folder}/ranks").collect()
-    out = np.zeros(max((r["id"] for r in rows), default=-1) + 1, dtype=np.uint32)
+    out = np.zeros(len(rows), dtype="<u4")
     for r in rows:
-        out[r["id"]] = r["rank"]
+        out[r["rank"]] = r["id"]
     return out
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids of every document, decoded from the files.
 
-    Files are told apart by their part; totals of the parts (one row each) give where each begins.
+    The totals of the files (one row each) give where each begins.
     """
-    blocks_table = spark.read.parquet(f"{folder}/blocks")
-    totals = blocks_table.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()
+    table = spark.read.parquet(f"{folder}/blocks")
+    totals = table.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()
     begins = {r["part"]: b for r, b in zip(totals, np.cumsum([0, *(r["n"] for r in totals)]).tolist(), strict=False)}
-    rank_of = _rank_of(spark, folder)
-    ids_of = np.zeros(len(rank_of), dtype="<u4")
-    ranked = spark.read.parquet(f"{folder}/ranks").collect()
-    for r in ranked:
-        ids_of[r["rank"]] = r["id"]
-    shared = spark.sparkContext.broadcast((ids_of, begins))
+    shared = spark.sparkContext.broadcast((_ids_by_rank(spark, folder), begins))
 
     def run(batches):
         ids_of, begins = shared.value
         place, path = _open(folder)
         for batch in batches:
-            for row in sorted(batch.to_pylist(), key=lambda r: (r["file"], r["block"])):
+            for row in batch.to_pylist():
                 with place.open_input_file(f"{path}/{row['file']}") as file:
                     payload = file.read_at(row["size"], row["offset"])
-                ids = ids_of[decode_block(payload, row["n_ids"])]
-                ends = np.cumsum(row["lengths"])
-                starts = ends - row["lengths"]
+                ends = np.cumsum(row["sizes"])
+                ids = [
+                    ids_of[decode_ranks(payload[b - size : b], n)].tobytes()
+                    for b, size, n in zip(ends.tolist(), row["sizes"], row["lengths"], strict=True)
+                ]
+                starts = np.cumsum(row["lengths"]) - row["lengths"] + begins[row["part"]] + row["before"]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(row["doc_ids"], pa.int64()),
-                        pa.array(starts + begins[row["part"]] + row["before"], pa.int64()),
-                        pa.array(row["lengths"], pa.int64()),
-                        pa.array([ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
-                    ],
+                    [pa.array(row["doc_ids"], pa.int64()), pa.array(starts, pa.int64()), pa.array(row["lengths"], pa.int64()),
+                     pa.array(ids, pa.binary())],
                     names=["doc_id", "start", "n_tokens", "ids"],
                 )
 
-    from pyspark.sql import Window
-
-    before = F.sum("n_ids").over(Window.partitionBy("part").orderBy("block")) - F.col("n_ids")
-    placed = blocks_table.withColumn("before", before)
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return table.repartition(parts).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None = None) -> DataFrame:
@@ -217,10 +220,4 @@ def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str |
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "tokens")
     write_tokens(docs, folder, tokenizer_path, end_id)
-
-    def digest(batches):
-        for batch in batches:
-            crc = pa.array([zlib.crc32(i.as_py()) for i in batch.column("ids")], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], crc], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return read_tokens(spark, folder).mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
