@@ -9,6 +9,7 @@ string; any other text goes to the library whole.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -37,23 +38,31 @@ _SYMBOLS = byte_symbols()
 
 def pre_token_ids(tokenizer: Tokenizer, piece: str) -> list[int]:
     """Ids of one pre-token by the library's model alone, which is far cheaper than a whole call."""
-    return [t.id for t in tokenizer.model.tokenize(piece.encode("utf-8").decode("latin-1").translate(_SYMBOLS))]
+    if piece.isascii() and piece.isalnum():
+        symbols = piece
+    else:
+        symbols = piece.encode("utf-8").decode("latin-1").translate(_SYMBOLS)
+    return [t.id for t in tokenizer.model.tokenize(symbols)]
 
 
 class Encoder:
-    """``ids(text)`` as little-endian unsigned 32-bit bytes, equal to the library's ids of the whole text."""
+    """``ids(text)`` as little-endian bytes of ``dtype``, equal to the library's ids of the whole text."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        #: Two bytes an id where the vocabulary allows it, else four.
+        self.dtype = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+        self.code = "H" if self.dtype == "<u2" else "I"
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.folds = self.tokenizer.normalizer is not None
         self.cache = Cache(self._piece_ids)
 
     def _library(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def _marks(self, marks: str) -> bytes:
-        return self.cache[f"\x01{marks}"]
+    def _pre_token(self, piece: str) -> bytes:
+        return array(self.code, pre_token_ids(self, piece)).tobytes()
 
     def _piece_ids(self, key: str) -> bytes:
         """A key is a word that follows one space, or begins with a line feed, or has \\x00 or \\x01 before the piece as it is.
@@ -61,11 +70,14 @@ class Encoder:
         After \\x01 the piece is one pre-token.
         """
         if key.startswith("\x01"):
-            return np.array(pre_token_ids(self.tokenizer, key[1:]), dtype="<u4").tobytes()
+            return self._pre_token(key[1:])
         word = _WORD.match(key)
         if word:
-            own = pre_token_ids(self.tokenizer, word[1] if self.folds else " " + word[1])
-            return np.array(own, dtype="<u4").tobytes() + (self._marks(word[2]) if word[2] else b"")
+            marks = self.cache["\x01" + word[2]] if word[2] else b""
+            if word[1].isascii():
+                own = word[1] if self.folds else _SYMBOLS[32] + word[1]
+                return array(self.code, [t.id for t in self.model.tokenize(own)]).tobytes() + marks
+            return self._pre_token(word[1] if self.folds else " " + word[1]) + marks
         if self.folds or key.startswith("\n"):
             return self._library(key)
         return self._library(key[1:] if key.startswith("\x00") else " " + key)
@@ -88,6 +100,11 @@ class Encoder:
             keys[0] = "\x00" + keys[0]
         return b"".join(map(self.cache.__getitem__, keys))
 
+    def ids32(self, text: str | None) -> bytes:
+        """The ids as unsigned 32-bit integers."""
+        ids = self.ids(text)
+        return ids if self.dtype == "<u4" else np.frombuffer(ids, dtype=self.dtype).astype("<u4").tobytes()
+
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:

@@ -156,7 +156,7 @@ def packed(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = WIND
         for batch in batches:
             for block in blocks(batch):
                 for doc_id, text in zip(block.column("doc_id").to_pylist(), block.column("text").to_pylist(), strict=True):
-                    packer.add(doc_id, worker.ids(text) + end)
+                    packer.add(doc_id, worker.ids32(text) + end)
                     if packer.tokens >= packer.group:
                         yield from packer.flush(last=False)
         yield from packer.flush(last=True)

@@ -15,7 +15,7 @@ from probanza.session import written
 #: Bytes of text that a task turns into arrays at a time; a longer text is a block of its own.
 BLOCK_BYTES = 2_000_000
 #: Entries of one generation of a worker's cache; it holds two generations at most.
-CACHE_ENTRIES = 1 << 18
+CACHE_ENTRIES = 1 << 19
 
 
 def blocks(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:

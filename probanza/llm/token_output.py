@@ -5,10 +5,10 @@ tokens; an end id follows. Ids are counted over all documents, and an id is writ
 count (ties: smaller id first), so that frequent ids take one byte.
 
 **File.** ``data-*.tvb`` holds a stream per document in ascending ``doc_id`` (nulls last; equal
-ids by content). A stream of n ranks has ceil(n / 4) control bytes (two bits a rank, the lowest
+ids by length and content). A stream of n ranks has ceil(n / 4) control bytes (two bits a rank, the lowest
 first: its number of data bytes less one; unused places are 0), then the data bytes, each rank's
 low byte first. The reader looks up each control byte in a table of four lengths and gathers all
-ranks of a stream at once. Streams are coded before they are sorted, so few bytes are shuffled.
+ranks of a stream at once.
 
 **Tables.** ``blocks`` (one row for about ``BLOCK_BYTES`` of streams: file, offset, size, ids
 before it in the file, and each document's id, length and bytes) and ``ranks`` (rank to id) are
@@ -42,23 +42,27 @@ _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uin
 
 def encode_ranks(ranks: np.ndarray) -> bytes:
     """Control bytes, then data bytes, of unsigned 32-bit ranks."""
-    size = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    padded = np.zeros(-(-len(ranks) // 4) * 4, dtype=np.uint8)
-    padded[: len(ranks)] = size
-    control = padded.reshape(-1, 4) @ np.array([1, 4, 16, 64], dtype=np.uint8)
-    raw = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
-    data = raw[np.arange(4) <= size[:, None]]
-    return control.astype(np.uint8).tobytes() + data.tobytes()
-
-
-def decode_ranks(payload: bytes, n: int) -> np.ndarray:
-    """The ``n`` ranks of a stream."""
+    width = max(1, -(-int(ranks.max(initial=0)).bit_length() // 8))
+    size = np.zeros(-(-len(ranks) // 4) * 4, dtype=np.uint8)  # data bytes less one
+    for k in range(1, width):
+        size[: len(ranks)] += ranks >> np.uint32(8 * k) > 0
+    control = size[0::4] | size[1::4] << 2 | size[2::4] << 4 | size[3::4] << 6
+    if width == 1:
+        return control.tobytes() + ranks.astype(np.uint8).tobytes()
+    raw = ranks.astype("<u2" if width == 2 else "<u4").view(np.uint8).reshape(len(ranks), -1)
+    return control.tobytes() + raw[np.arange(raw.shape[1], dtype=np.uint8) <= size[: len(ranks), None]].tobytes()
+
+
+def decode_ranks(payload: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` ranks of a stream of bytes."""
     n_control = -(-n // 4)
-    payload = np.frombuffer(payload, dtype=np.uint8)
     size = _LENGTHS[payload[:n_control]].reshape(-1)[:n]
-    out = np.zeros((n, 4), dtype=np.uint8)
-    out[np.arange(4) < size[:, None]] = payload[n_control : n_control + int(size.sum())]
-    return out.view("<u4").reshape(-1)
+    width = int(size.max(initial=1))
+    if width == 1:
+        return payload[n_control : n_control + n].astype(np.uint32)
+    out = np.zeros((n, 2 if width == 2 else 4), dtype=np.uint8)
+    out[np.arange(out.shape[1], dtype=np.uint8) < size[:, None]] = payload[n_control:]
+    return out.view("<u2" if width == 2 else "<u4").reshape(-1).astype(np.uint32)
 
 
 def _open(folder: str):
@@ -67,30 +71,30 @@ def _open(folder: str):
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """doc_id, n, ids (little-endian unsigned 32-bit) of every whole text, with the end id."""
-    end = np.array([end_id], dtype="<u4").tobytes()
+    """doc_id, n, ids (little-endian, in the encoder's width) of every whole text, with the end id."""
 
     def run(batches):
         worker = encoder(tokenizer_path)
+        end = np.array([end_id], dtype=worker.dtype).tobytes()
         for batch in batches:
             for block in blocks(batch):
                 ids = [worker.ids(t) + end for t in block.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [block.column("doc_id"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())],
+                    [block.column("doc_id"), pa.array([len(i) // len(end) for i in ids], pa.int64()), pa.array(ids, pa.binary())],
                     names=["doc_id", "n", "ids"],
                 )
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, ids binary")
 
 
-def rank_table(ids: DataFrame) -> DataFrame:
+def rank_table(ids: DataFrame, dtype: str) -> DataFrame:
     """(id, rank) by count over all documents; one row per task and id is shuffled, one per id is kept."""
 
     def tally(batches):
         counts = np.zeros(0, dtype=np.int64)
         for batch in batches:
             for value in batch.column("ids"):
-                one = np.bincount(np.frombuffer(value.as_py(), dtype="<u4"))
+                one = np.bincount(np.frombuffer(value.as_buffer(), dtype=dtype))
                 if len(one) > len(counts):
                     one[: len(counts)] += counts
                     counts = one
@@ -111,17 +115,13 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int)
     staged = f"{folder}/staged"
     encoded(docs, tokenizer_path, end_id).write.option("compression", "zstd").parquet(staged)
     ids = spark.read.parquet(staged)
-    rank_table(ids).write.parquet(f"{folder}/ranks")
+    dtype = encoder(tokenizer_path).dtype
+    rank_table(ids, dtype).write.parquet(f"{folder}/ranks")
     found = _ids_by_rank(spark, folder)
     rank_of = np.zeros(int(found.max(initial=0)) + 1, dtype=np.uint32)
     rank_of[found] = np.arange(len(found), dtype=np.uint32)
     table = spark.sparkContext.broadcast(rank_of)
 
-    def code(batches):
-        for batch in batches:
-            coded = [encode_ranks(table.value[np.frombuffer(i.as_py(), dtype="<u4")]) for i in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n"), pa.array(coded, pa.binary())], names=["doc_id", "n", "coded"])
-
     def write(batches):
         from pyspark import TaskContext
 
@@ -144,7 +144,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int)
             return pa.RecordBatch.from_pylist([row], schema=_BLOCK_SCHEMA)
 
         for batch in batches:
-            for doc_id, n, coded in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "coded")), strict=True):
+            for doc_id, n, ids in zip(batch.column("doc_id").to_pylist(), batch.column("n").to_pylist(), batch.column("ids"), strict=True):
+                coded = encode_ranks(table.value[np.frombuffer(ids.as_buffer(), dtype=dtype)])
                 if sink is None:
                     place.create_dir(path, recursive=True)
                     sink = place.open_output_stream(f"{path}/{name}")
@@ -158,9 +159,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int)
             sink.close()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("coded").asc()]
-    coded = ids.mapInArrow(code, "doc_id long, n long, coded binary")
-    coded.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(write, _BLOCKS).write.parquet(f"{folder}/blocks")
+    first = F.col("doc_id").asc_nulls_last()
+    ordered = ids.repartitionByRange(parts, first, "n").sortWithinPartitions(first, "n", F.xxhash64("ids"))
+    ordered.select("doc_id", "n", "ids").mapInArrow(write, _BLOCKS).write.parquet(f"{folder}/blocks")
 
 
 _BLOCKS = (
@@ -198,7 +199,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 with place.open_input_file(f"{path}/{row['file']}") as file:
-                    payload = file.read_at(row["size"], row["offset"])
+                    payload = np.frombuffer(file.read_at(row["size"], row["offset"]), dtype=np.uint8)
                 ends = np.cumsum(row["sizes"])
                 ids = [
                     ids_of[decode_ranks(payload[b - size : b], n)].tobytes()
