@@ -8,16 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_SHARE = 0.002
-HOT_ROWS = 1_000_000
 SALTS = 64
 
 
-def hot_keys(rows: DataFrame, on: list[str], share: float = HOT_SHARE, min_rows: int | None = None) -> DataFrame:
-    """Keys with more than ``share`` of the rows (at most ``1 / share`` of them) that are worth splitting."""
+def hot_keys(rows: DataFrame, on: list[str], share: float = HOT_SHARE) -> DataFrame:
+    """Keys with more than ``share`` of the rows; at most ``1 / share`` of them."""
     counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
     total = counts.agg(F.sum("_rows").alias("rows")).scalar()
-    heavy = (F.col("_rows") > total * share) & (F.col("_rows") > (HOT_ROWS if min_rows is None else min_rows))
-    return counts.filter(heavy).select(*on)
+    return counts.filter(F.col("_rows") > total * share).select(*on)
 
 
 def lookup_join(
@@ -27,7 +25,6 @@ def lookup_join(
     how: str = "left",
     keys_from: DataFrame | None = None,
     share: float = HOT_SHARE,
-    min_rows: int | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
     """Join ``fact`` to ``dim``, which has one row (or few) per key.
@@ -38,7 +35,7 @@ def lookup_join(
     the fact table before its text filters.
     """
     on = [on] if isinstance(on, str) else list(on)
-    found = hot_keys(fact if keys_from is None else keys_from, on, share, min_rows)
+    found = hot_keys(fact if keys_from is None else keys_from, on, share)
     hot = F.broadcast(found.withColumn("_hot", F.lit(True)))
     missing = reduce(Column.__or__, [F.col(c).isNull() for c in on])
     spread = F.pmod(F.xxhash64(*fact.columns), F.lit(salts)).cast("int")

@@ -62,10 +62,10 @@ def test_salted_lookup_equals_the_plain_join(spark):
     rows = [("hot", i) for i in range(400)] + [(None, i) for i in range(300)] + [(f"k{i % 50}", i) for i in range(300)]
     fact = spark.createDataFrame(rows, "k string, i int")
     dim = spark.createDataFrame([("hot", 1), ("k1", 2), ("k2", 3), ("zz", 4)], "k string, v int")
-    hot = {r.k for r in hot_keys(fact, ["k"], share=0.2, min_rows=0).collect()}
+    hot = {r.k for r in hot_keys(fact, ["k"], share=0.2).collect()}
     assert hot == {"hot", None}
     for how in ("left", "inner"):
-        salted = lookup_join(fact, dim, "k", how, share=0.2, min_rows=0, salts=8)
+        salted = lookup_join(fact, dim, "k", how, share=0.2, salts=8)
         assert Counter(map(tuple, salted.select("k", "i", "v").collect())) == Counter(
             map(tuple, fact.join(dim, "k", how).select("k", "i", "v").collect())
         )
@@ -74,7 +74,7 @@ def test_salted_lookup_equals_the_plain_join(spark):
 def test_salted_lookup_on_two_keys(spark):
     fact = spark.createDataFrame([("a", None, i) for i in range(50)] + [("a", "b", i) for i in range(50)], "x string, y string, i int")
     dim = spark.createDataFrame([("a", "b", 9)], "x string, y string, v int")
-    got = lookup_join(fact, dim, ["x", "y"], "left", share=0.1, min_rows=0, salts=4)
+    got = lookup_join(fact, dim, ["x", "y"], "left", share=0.1, salts=4)
     assert got.count() == 100 and got.filter("v = 9").count() == 50
 
 
