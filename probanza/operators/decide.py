@@ -78,12 +78,8 @@ def response(action: Column, named_type: Column, number: Column, balance: Column
 # --- policy ---------------------------------------------------------------------------------------
 def policy_table(spark: SparkSession) -> DataFrame:
     """The 24 combinations of intent, resolution and authorization with action and outcome."""
-    inquiries = [("BALANCE_INQUIRY", *line.split()) for line in vocab.BALANCE_POLICY.strip().splitlines()]
-    others = [
-        ("OUT_OF_SCOPE", r, a, "OUT_OF_SCOPE", "OUT_OF_SCOPE") for r in vocab.RESOLUTIONS for a in vocab.AUTHORIZATIONS
-    ]
     return spark.createDataFrame(
-        inquiries + others, "intent string, resolution string, authorization string, action string, outcome string"
+        list(vocab.POLICY), "intent string, resolution string, authorization string, action string, outcome string"
     )
 
 

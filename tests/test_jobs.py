@@ -21,7 +21,7 @@ def data(tmp_path_factory):
     put(root, "customers.csv", "customer_id registration_branch_id customer_status country detected_accent", [("C1", "B1", "Active", "CO", "x"), ("C2", "B1", "Active", "MX", "y")])
     put(root, "products.csv", "product_id customer_id product_status product_type opening_branch_id", [("P1", "C1", "A", "Cuenta Ahorro", "B1"), ("P2", "C2", "A", "Tarjeta", "B1")])
     put(root, "service_agents.csv", "agent_id assigned_branch_id agent_status languages specialty", [("A1", "B1", "Active", '"es,en"', "x")])
-    put(root, "transactions/year=2026/month=01/day=10/t.csv", vocab.SCOPED_COLUMNS["transactions"], [
+    put(root, "transactions/year=2026/month=01/day=10/t.csv", " ".join(vocab.SCOPED_COLUMNS["transactions"]), [
         ("T1", "2026-01-10 09:00:00", "2026-01-10", "P1", "C1", "t", "c", "1", "COP", "Approved", "0", "", ""),
         ("T2", "2026-01-10 09:30:00", "2026-01-09", "P2", "C2", "t", "c", "2", "COP", "Declined", "1", "", ""),
     ])
