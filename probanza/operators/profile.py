@@ -208,9 +208,9 @@ def column_profile(df: DataFrame, dataset: str, columns: list[str] | None = None
 
 
 def example_values(df: DataFrame, columns: list[str] | None = None, k: int = 3, pattern: str = vocab.PII_COLUMN) -> DataFrame:
-    """The k smallest distinct values (80 characters) of every column that holds no personal data."""
+    """The k smallest distinct values of every column that holds no personal data."""
     safe = [c for c in (columns or df.columns) if c not in named(columns or df.columns, pattern)]
-    shortened = value_histogram(df, safe, lambda c: F.nullif(F.substring(C.strip(c), 1, 80), F.lit("")))
+    shortened = value_histogram(df, safe, lambda c: F.nullif(C.strip(c), F.lit("")))
     ranked = shortened.filter(F.col("value").isNotNull()).withColumn(
         "rank", F.row_number().over(Window.partitionBy("column_name").orderBy("value"))
     )
@@ -319,7 +319,7 @@ def semantic_types(samples: DataFrame, by: list[str]) -> DataFrame:
     return facts.select(
         *by,
         F.col("filled").alias("observed_nonempty_values"),
-        F.least(F.col("different"), F.lit(100)).alias("observed_distinct_values_capped"),
+        F.col("different").alias("observed_distinct_values_capped"),  # the published name; nothing is cut off
         kind.alias("semantic_type"),
     )
 

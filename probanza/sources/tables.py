@@ -19,8 +19,10 @@ from probanza.sources import files as L
 
 SOURCE_FILE = "__source_file"
 PARTITION_COLUMNS = ("year", "month", "day")
+# Quotes are doubled inside quoted fields, which may hold line breaks; so a file is not split.
+RFC_4180 = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
 # A quoted empty field stays '' and an unquoted one is NULL; no text equals this null marker.
-_BLANK_AWARE = {"emptyValue": "", "nullValue": "\u0000"}
+_BLANK_AWARE = {**RFC_4180, "emptyValue": "", "nullValue": "\u0000"}
 
 
 class CatalogError(RuntimeError):
@@ -34,7 +36,7 @@ class RowWidthError(ValueError):
 # --- scans ----------------------------------------------------------------------------------------
 def read_inferred(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """CSV with a header and inferred types; one layout for all files."""
-    return spark.read.option("header", True).option("inferSchema", True).option("recursiveFileLookup", True).csv(path)
+    return spark.read.options(**RFC_4180).option("inferSchema", True).option("recursiveFileLookup", True).csv(path)
 
 
 def _text_schema(header: tuple[str, ...], partitions: tuple[str, ...] = ()) -> T.StructType:
@@ -69,7 +71,6 @@ def read_by_name(spark: SparkSession, listing: DataFrame, root: str, mode: str =
         reader = (
             spark.read.schema(_text_schema(header, partitions))
             .options(**_BLANK_AWARE)
-            .option("header", True)
             .option("enforceSchema", False)
             .option("columnPruning", False)
             .option("mode", mode)
@@ -96,7 +97,6 @@ def read_lenient(spark: SparkSession, paths: list[str], columns: list[str]) -> t
     rows = (
         spark.read.schema(schema)
         .options(**_BLANK_AWARE)
-        .option("header", True)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt_record")
         .option("columnPruning", False)
@@ -119,14 +119,14 @@ def scoped(df: DataFrame, wanted: list[str]) -> DataFrame:
     return df.select(*have, *kept)
 
 
-def scoped_cache(spark: SparkSession, root: str, datasets: dict[str, str] | None = None) -> dict[str, DataFrame]:
+def scoped_cache(spark: SparkSession, root: str, datasets: dict[str, tuple[str, ...]] | None = None) -> dict[str, DataFrame]:
     """Every dataset read once, cut to its scoped columns and written as Parquet for reuse."""
     listing = L.list_files(spark, root)
     wanted = datasets or vocab.SCOPED_COLUMNS
 
     def load(name: str) -> DataFrame:
         rows = read_by_name(spark, listing.filter(F.col("dataset") == name), root)
-        return written(scoped(rows, wanted[name].split()), f"scoped-{name}")
+        return written(scoped(rows, wanted[name]), f"scoped-{name}")
 
     return dict(zip(wanted, side_by_side(spark, [partial(load, name) for name in wanted])))
 
@@ -156,15 +156,14 @@ def sample_cells(sample: DataFrame, dataset: str) -> DataFrame:
     return long.select(F.lit(dataset).alias("dataset"), F.col("_file").alias("file"), "column_name", "value")
 
 
-def row_widths(spark: SparkSession, listing: DataFrame, multi_line: bool = False) -> DataFrame:
+def row_widths(spark: SparkSession, listing: DataFrame) -> DataFrame:
     """(file, width, rows): how many fields the rows of every file hold."""
     frames = []
     for header, paths in sorted(headers_of(listing).items()):
         schema = _text_schema(header).add("_corrupt_record", T.StringType())
         rows = (
             spark.read.schema(schema)
-            .option("header", True)
-            .option("multiLine", multi_line)
+            .options(**RFC_4180)
             .option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", "_corrupt_record")
             .option("columnPruning", False)
@@ -191,7 +190,7 @@ def require_one_width(widths: DataFrame) -> None:
 def load_catalog(spark: SparkSession, path: str) -> DataFrame:
     """The explicit product file as text; missing file, missing column or no rows stop the run."""
     try:
-        rows = spark.read.option("header", True).csv(path)
+        rows = spark.read.options(**RFC_4180).csv(path)
     except AnalysisException as error:
         raise CatalogError(f"product catalog cannot be read: {path}") from error
     return require_catalog(rows.toDF(*(c.lstrip("\ufeff").strip() for c in rows.columns)))
@@ -214,7 +213,7 @@ def _positioned_records(spark: SparkSession, paths: list[str], columns: tuple[st
             schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
             rows = spark.read.schema(schema).json(path)
         else:
-            rows = spark.read.option("header", True).csv(path)
+            rows = spark.read.options(**RFC_4180).csv(path)
         placed = with_position(rows)
         have = [F.col(f"`{c}`").cast("string").alias(c) if c in rows.columns else F.lit("").alias(c) for c in columns]
         frames.append(placed.select(*have, F.lit(order).alias("_order"), "_block", "_row"))

@@ -277,7 +277,7 @@ _CUSTOMER = ("customer_id", "registration_branch_id", "customer_status", "countr
     with_tables("customers")
     + ", x AS ("
     + "\nUNION ALL\n".join(
-        f"SELECT DISTINCT '{c}' AS column_name, substring(trim({c}), 1, 80) AS value FROM customers WHERE {ne(c)}"
+        f"SELECT DISTINCT '{c}' AS column_name, trim({c}) AS value FROM customers WHERE {ne(c)}"
         for c in _CUSTOMER
         if c != "full_name"
     )

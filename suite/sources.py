@@ -19,7 +19,7 @@ from suite.profiles import each, union
 from suite.registry import register
 
 _CALLS = "call_center_interactions"
-_AS_IS = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+_AS_IS = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 _TREES: dict[tuple[str, str, str], str] = {}
 
 
@@ -169,7 +169,7 @@ def provenance(spark, sf):
     + "SELECT customer_id, registration_branch_id, customer_status, country, detected_accent, CAST(NULL AS VARCHAR) AS credit_score FROM customers",
 )
 def scoped_projection(spark, sf):
-    wanted = [*vocab.SCOPED_COLUMNS["customers"].split(), "credit_score"]
+    wanted = [*vocab.SCOPED_COLUMNS["customers"], "credit_score"]
     return S.scoped(S.read_dataset(spark, csv_tree(spark, sf), "customers"), wanted).drop(S.SOURCE_FILE)
 
 

@@ -40,7 +40,7 @@ def hive(tmp_path):
 def test_partition_columns_are_virtual_and_keep_zeros(spark, hive):
     df = S.read_dataset(spark, str(hive), "transactions")
     assert len([c for c in df.columns if c != S.SOURCE_FILE]) == 25
-    scoped = S.scoped(df, vocab.SCOPED_COLUMNS["transactions"].split())
+    scoped = S.scoped(df, vocab.SCOPED_COLUMNS["transactions"])
     assert len(scoped.columns) == 13 + 3 + 1 and scoped.count() == 2
     assert {r.month for r in scoped.select("month").collect()} == {"01"}
     assert {str(r.d) for r in scoped.select(C.partition_date(S.SOURCE_FILE).alias("d")).collect()} == {"2026-01-10", "2026-01-11"}
@@ -184,3 +184,17 @@ def test_manifest(spark, frame, tmp_path):
     r = spark.read.json(str(tmp_path / "m")).first()
     assert (r.k, r.total_rows) == ("v", 3)
     assert {x.dataset: x.schema_sha256 for x in r.tables}["x"] == hashlib.sha256(b"a|b").hexdigest()
+
+
+def test_quotes_and_line_breaks_in_fields(spark, tmp_path):
+    folder = tmp_path / "notes"
+    folder.mkdir()
+    (folder / "n.csv").write_text('id,text\n1,"He said ""hi"", ok"\n2,"two\nlines"\n3,"a\\"\n', encoding="utf-8")
+    want = [("1", 'He said "hi", ok'), ("2", "two\nlines"), ("3", "a\\")]
+    for mode in ("FAILFAST", "DROPMALFORMED"):
+        rows = S.read_dataset(spark, str(tmp_path), "notes", mode).select("id", "text").orderBy("id").collect()
+        assert [tuple(r) for r in rows] == want
+    S.require_one_width(S.row_widths(spark, L.list_files(spark, str(tmp_path))))
+    sinks.write_csv(spark.createDataFrame(want, "id string, text string"), str(tmp_path / "out"))
+    again = spark.read.options(**S.RFC_4180).csv(str(tmp_path / "out")).orderBy("id").collect()
+    assert [tuple(r) for r in again] == want
