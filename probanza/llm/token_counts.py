@@ -95,7 +95,7 @@ def frequent_pieces(docs: DataFrame, path: str, pattern: str, size: int = HOT_SI
 
     one = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(summarise, _SUMMARY)
     few = one.repartition(16, F.pmod("part", F.lit(16))).mapInArrow(merge, _SUMMARY)
-    rows = few.coalesce(1).mapInArrow(merge, _SUMMARY).collect()  # one row of at most ``size`` pieces
+    rows = few.repartition(1).mapInArrow(merge, _SUMMARY).collect()  # one row of at most ``size`` pieces
     return [p for row in rows for p in row["pieces"]]
 
 
