@@ -139,7 +139,7 @@ def _counts(rows: DataFrame) -> np.ndarray:
 
     few = rows.mapInArrow(count, _TABLE).repartition(16, F.pmod("part", F.lit(16))).mapInArrow(merge, _TABLE)
     table = np.zeros((2, 2, CELLS), dtype=np.int64)
-    for row in few.coalesce(1).mapInArrow(merge, _TABLE).collect():  # one table of fixed size
+    for row in few.repartition(1).mapInArrow(merge, _TABLE).collect():  # one table of fixed size
         table += np.frombuffer(zlib.decompress(row["counts"]), dtype=np.int64).reshape(table.shape)
     return table
 
