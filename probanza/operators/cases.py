@@ -177,6 +177,8 @@ def curated_cases(products: DataFrame) -> DataFrame:
     )
     pools = curated_pools(products, max(r[3] for r in rows) + 1)
     sizes = pools.groupBy("pool").agg(F.max("pool_size").alias("pool_size"))
+    if not specs.join(sizes, "pool", "left_anti").isEmpty():
+        raise ValueError("the catalog has no customer for a pool of curated cases")
     placed = specs.join(sizes, "pool").withColumn("position", F.col("i") % F.col("pool_size")).drop("pool_size")
     owned = placed.join(pools.drop("pool_size"), ["pool", "position"])
     other = D.stripped_catalog(products).agg(F.max("customer_id").alias("c")).scalar()

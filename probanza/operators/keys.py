@@ -314,30 +314,24 @@ def multiplicity(child: DataFrame, child_key: str, parent: DataFrame, parent_key
 def discover_joins(tables: dict[str, DataFrame], pattern: str = vocab.ID_COLUMN) -> DataFrame:
     """Every ordered pair of tables whose equally named identifiers share values.
 
-    All identifiers are stacked once and each value becomes the set of tables that hold it (one bit
-    per table). Counting the sets leaves a frame bounded by the number of table sets, and only that
+    All identifiers are stacked once and each value becomes the set of tables that hold it. Counting the sets leaves a frame bounded by the number of table sets, and only that
     small frame is expanded into pairs.
     """
     from probanza.operators.profile import named
 
     names = sorted(tables)
-    if len(names) > 62:
-        raise ValueError("join discovery marks tables in one BIGINT; pass at most 62 tables")
     stacked = []
-    for bit, t in enumerate(names):
+    for t in names:
         ids = named(tables[t].columns, pattern)
         if ids:
             cells = tables[t].select(*(C.key_of(F.col(f"`{c}`")).alias(c) for c in ids))
             long = cells.unpivot([], [F.col(f"`{c}`") for c in ids], "key_column", "value").filter("value is not null")
-            stacked.append(long.select("key_column", "value", F.lit(1 << bit).cast("bigint").alias("tables")))
-    held = reduce(DataFrame.unionByName, stacked).groupBy("key_column", "value").agg(F.bit_or("tables").alias("tables"))
-    sets = held.groupBy("key_column", "tables").agg(F.count(F.lit(1)).alias("n"))
-    members = F.array_compact(
-        F.array(*(F.when(F.col("tables").bitwiseAND(F.lit(1 << b).cast("bigint")) != 0, t) for b, t in enumerate(names)))
-    )
-    sides = sets.select("key_column", "n", members.alias("members")).select(
-        "key_column", "n", F.explode("members").alias("child"), "members"
+            stacked.append(long.select("key_column", "value", F.lit(t).alias("table")))
+    held = reduce(DataFrame.unionByName, stacked).groupBy("key_column", "value").agg(
+        F.sort_array(F.collect_set("table")).alias("members")
     )
+    sets = held.groupBy("key_column", "members").agg(F.count(F.lit(1)).alias("n"))
+    sides = sets.select("key_column", "n", F.explode("members").alias("child"), "members")
     sizes = sides.groupBy("key_column", "child").agg(F.sum("n").alias("distinct_keys"))
     pairs = (
         sides.select("key_column", "n", "child", F.explode("members").alias("parent"))
