@@ -61,20 +61,26 @@ def _explicit_type(text: Column) -> Column:
 
 
 def native_cases(transcripts: DataFrame, interactions: DataFrame, products: DataFrame) -> DataFrame:
-    """Transcripts that ask for the balance of a named product in a transactional interaction."""
+    """Transcripts that ask for the balance of a named product in a transactional interaction.
+
+    Of repeated interaction ids the last record counts, by process and interaction time (missing ones
+    first); among equal times a transactional one.
+    """
     text = C.strip("customer_text")
     asked = transcripts.filter(C.matches("customer_text", vocab.NATIVE_BALANCE)).select(
         *(C.strip(c).alias(c) for c in ("transcript_id", "interaction_id", "customer_id", "process_date")),
         text.alias("customer_text"),
         _explicit_type(text).alias("expected_product_type"),
     ).filter(F.col("expected_product_type") != "")
+    times = [c for c in ("process_date", "interaction_date") if c in interactions.columns]
     reasons = interactions.select(
+        *(C.parse_ts(c).alias(c) for c in times),
         C.strip("interaction_id").alias("interaction_id"),
         ((C.strip("reason_category") == vocab.TRANSACTIONAL_REASON) | (C.strip("contact_reason") == vocab.TRANSACTIONAL_REASON)).alias("hit"),
         C.score_true("was_resolved").cast("string").alias("was_resolved"),
         C.score_true("was_escalated").cast("string").alias("was_escalated"),
     )
-    one = reasons.groupBy("interaction_id").agg(F.max(F.struct("hit", "was_resolved", "was_escalated")).alias("found"))
+    one = reasons.groupBy("interaction_id").agg(F.max(F.struct(*times, "hit", "was_resolved", "was_escalated")).alias("found"))
     all_keys = transcripts.select(C.strip("interaction_id").alias("interaction_id"))
     transactional = lookup_join(asked, one, "interaction_id", "left", keys_from=all_keys).filter("found.hit")
     cases = transactional.select(

@@ -138,3 +138,18 @@ def test_native_cases(frame):
     assert [(r.case_id, r.customer_text, r.historical_was_resolved, r.historical_was_escalated, r.expected_balance) for r in rows] == [
         ("T1", "El saldo de mi cuenta de ahorros", "True", "False", "10.00")
     ]
+
+
+def test_native_cases_take_the_last_record_of_an_interaction(frame):
+    transcripts = frame(
+        "transcript_id interaction_id customer_id process_date customer_text", [("T1", "I1", "C1", "d", ASK), ("T2", "I2", "C1", "d", ASK)]
+    )
+    calls = frame(
+        "interaction_id reason_category contact_reason was_resolved was_escalated process_date interaction_date",
+        [
+            ("I1", "Transaccional", "", "yes", "", "2026-01-01", "2026-01-01 10:00:00"), ("I1", "Queja", "", "", "", "2026-01-02", "2026-01-01 10:00:00"),
+            ("I2", "Queja", "", "", "", None, "2026-01-03 10:00:00"), ("I2", "Transaccional", "", "", "yes", "2026-01-02", "2026-01-02 10:00:00"),
+        ],
+    )
+    rows = E.native_cases(transcripts, calls, frame(CATALOG, [P1])).collect()
+    assert [(r.case_id, r.historical_was_resolved, r.historical_was_escalated) for r in rows] == [("T2", "False", "True")]
