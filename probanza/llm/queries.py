@@ -15,6 +15,7 @@ from probanza.llm import (
     near_duplicates,
     packing,
     quality,
+    statements,
     token_counts,
     token_output,
     url_filter,
@@ -88,4 +89,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(statements.SQL)
