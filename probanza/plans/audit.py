@@ -107,19 +107,16 @@ def feasibility(tables: dict[str, DataFrame], miss: str = "PARTIAL") -> DataFram
     return M.feasibility(reduce(DataFrame.unionByName, parts), THRESHOLDS, miss)
 
 
-def schema_recon(spark: SparkSession, root: str, rows_per_file: int = 40) -> DataFrame:
-    """Column inventory of the first, middle and last file of every dataset: types, roles, drift."""
-    chosen = L.representative_files(L.list_files(spark, root))
-    L.require_three_files(chosen)
-    headers = S.headers_of(chosen)
+def schema_recon(spark: SparkSession, root: str) -> DataFrame:
+    """Column inventory of every dataset, from all rows of all files: types, roles, drift."""
+    listing = L.list_files(spark, root)
     cells = []
-    for header, paths in sorted(headers.items()):
+    for header, paths in sorted(S.headers_of(listing).items()):
         schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
-        rows = spark.read.schema(schema).option("header", True).csv(paths)
-        sample = S.prefix_sample(S.with_position(rows), rows_per_file)
-        cells.append(S.sample_cells(sample, ""))
-    long = reduce(DataFrame.unionByName, cells).drop("dataset")
-    located = chosen.select("dataset", F.regexp_replace("path", "^file:/+", "/").alias("file"))
+        rows = spark.read.schema(schema).options(**S.RFC_4180).csv(paths)
+        cells.append(S.long_cells(rows))
+    long = reduce(DataFrame.unionByName, cells)
+    located = listing.select("dataset", F.regexp_replace("path", "^file:/+", "/").alias("file"))
     long = long.withColumn("file", F.regexp_replace("file", "^file:/+", "/")).join(located, "file")
     overall = P.semantic_types(long, ["dataset", "column_name"])
     per_file = P.semantic_types(long, ["dataset", "column_name", "file"])
@@ -127,7 +124,7 @@ def schema_recon(spark: SparkSession, root: str, rows_per_file: int = 40) -> Dat
         F.count(F.lit(1)).alias("present_in"),
         F.array_join(F.array_sort(F.collect_set("semantic_type")), ",").alias("per_file_types"),
     )
-    files = chosen.groupBy("dataset").agg(F.count(F.lit(1)).alias("sampled_files"))
+    files = listing.groupBy("dataset").agg(F.count(F.lit(1)).alias("files"))
     flags = P.column_flags(overall.select("dataset", "column_name"))
     dated = F.col("semantic_type").isin("date", "timestamp") & ~C.matches("column_name", vocab.RECON_NOT_A_DATE)
     text = C.matches("column_name", vocab.RECON_TEXT) & (F.col("semantic_type") == "string") & ~F.col("primary_key_candidate")
@@ -137,7 +134,7 @@ def schema_recon(spark: SparkSession, root: str, rows_per_file: int = 40) -> Dat
         .join(flags, ["dataset", "column_name"])
         .withColumns(
             {
-                "present_in_all_samples": F.col("present_in") == F.col("sampled_files"),
+                "present_in_all_samples": F.col("present_in") == F.col("files"),
                 "timestamp_or_date_candidate": dated,
                 "free_text_field": text,
             }

@@ -124,10 +124,8 @@ def representative_files(listing: DataFrame) -> DataFrame:
     """First, middle and last file of every dataset in partition order."""
     parts = [F.coalesce(C.partition_part("relative_path", n, d), F.lit(0)) for n, d in (("year", 4), ("month", 2), ("day", 2))]
     order = Window.partitionBy("dataset").orderBy(*parts, F.col("relative_path"))
-    whole = Window.partitionBy("dataset")
-    placed = listing.select(
-        "*", F.row_number().over(order).cast("bigint").alias("place"), F.count(F.lit(1)).over(whole).alias("files")
-    )
+    totals = listing.groupBy("dataset").agg(F.count(F.lit(1)).alias("files"))
+    placed = listing.select("*", F.row_number().over(order).cast("bigint").alias("place")).join(totals, "dataset")
     middle = F.floor(F.col("files") / 2) + 1
     return placed.filter((F.col("place") == 1) | (F.col("place") == middle) | (F.col("place") == F.col("files")))
 
@@ -137,17 +135,14 @@ def require_three_files(chosen: DataFrame, static: tuple[str, ...] = vocab.STATI
     short = chosen.filter(~F.col("dataset").isin(*static) & (F.col("files") < 3)).select("dataset").distinct()
     names = [r.dataset for r in short.orderBy("dataset").limit(20).collect()]
     if names:
-        raise ValueError(f"fewer than three files in: {', '.join(names)}")
+        raise ValueError(f"fewer than three files in {short.count()} datasets, the first of them: {', '.join(names)}")
 
 
 def capped_files(listing: DataFrame, cap: int) -> DataFrame:
     """The first ``cap`` files per dataset in path order, and whether files were left out."""
     order = Window.partitionBy("dataset").orderBy("relative_path")
-    placed = listing.select(
-        "*",
-        F.row_number().over(order).cast("bigint").alias("place"),
-        F.count(F.lit(1)).over(Window.partitionBy("dataset")).alias("available_files"),
-    )
+    totals = listing.groupBy("dataset").agg(F.count(F.lit(1)).alias("available_files"))
+    placed = listing.select("*", F.row_number().over(order).cast("bigint").alias("place")).join(totals, "dataset")
     return placed.filter(F.col("place") <= cap).withColumn("rows_are_sampled", F.col("available_files") > cap)
 
 

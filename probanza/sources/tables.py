@@ -142,18 +142,17 @@ def with_position(df: DataFrame) -> DataFrame:
     )
 
 
-def prefix_sample(positioned: DataFrame, k: int = 40) -> DataFrame:
-    """The first k rows of every file."""
+def prefix_sample(positioned: DataFrame, k: int) -> DataFrame:
+    """The first k rows of every file: a sampling operator, which no profile relies on."""
     order = Window.partitionBy("_file").orderBy("_block", "_row")
     return positioned.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= k)
 
 
-def sample_cells(sample: DataFrame, dataset: str) -> DataFrame:
-    """A sample in long form: dataset, file, column, value."""
-    names = [c for c in sample.columns if not c.startswith("_")]
-    cells = sample.select("_file", *(F.col(f"`{c}`").cast("string").alias(c) for c in names))
-    long = cells.unpivot(["_file"], [F.col(f"`{c}`") for c in names], "column_name", "value")
-    return long.select(F.lit(dataset).alias("dataset"), F.col("_file").alias("file"), "column_name", "value")
+def long_cells(rows: DataFrame) -> DataFrame:
+    """All cells of a file scan in long form: file, column, value."""
+    names = rows.columns
+    cells = rows.select(F.col("_metadata.file_path").alias("file"), *(F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")).alias(f"_{i}") for i, c in enumerate(names)))
+    return cells.select("file", F.inline(F.array(*(F.col(f"_{i}") for i in range(len(names))))))
 
 
 def row_widths(spark: SparkSession, listing: DataFrame) -> DataFrame:
@@ -183,7 +182,7 @@ def require_one_width(widths: DataFrame) -> None:
     mixed = widths.groupBy("file").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     names = [r.file for r in mixed.orderBy("file").limit(20).collect()]
     if names:
-        raise RowWidthError(f"rows of differing width in: {', '.join(names)}")
+        raise RowWidthError(f"rows of differing width in {mixed.count()} files, the first of them: {', '.join(names)}")
 
 
 # --- decision sources -----------------------------------------------------------------------------

@@ -37,27 +37,39 @@ def requests_from_feed(feed: DataFrame, other_customer: str) -> DataFrame:
 
 
 def rejected_from_feed(feed: DataFrame) -> DataFrame:
-    """Feed rows that are no request, with the reason."""
+    """Feed rows that are no request, with the reason; a missing query is an empty one."""
     mode = F.coalesce(F.col("session_mode"), F.lit("authenticated"))
-    empty = C.strip("query") == ""
+    empty = F.coalesce(C.strip("query"), F.lit("")) == ""
     return feed.filter(empty | ~mode.isin(*SESSION_MODES)).select(
         "request_id", F.when(empty, "query is required").otherwise("invalid session_mode").alias("error")
     )
 
 
 def decision_stream(
-    feed: DataFrame, load: Callable[[], DataFrame], target: str, checkpoint: str, other_customer: str = "CLI-OTHER-OWNER"
+    feed: DataFrame,
+    load: Callable[[], DataFrame],
+    target: str,
+    checkpoint: str,
+    other_customer: str = "CLI-OTHER-OWNER",
+    rejects: str | None = None,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Start the job: decide every request that is available and write the answers as Parquet."""
+    """Start the job: decide every request and write the answers as Parquet, and rejected rows to ``rejects``.
+
+    ``trigger`` holds the arguments of Spark's trigger, such as ``{"processingTime": "10 seconds"}``
+    for a live feed; without it the job decides what is available and ends.
+    """
 
     def decide_batch(batch: DataFrame, batch_id: int) -> None:
         products = require_catalog(load())
         answers = D.decide(requests_from_feed(batch, other_customer), products)
         answers.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        if rejects:
+            rejected_from_feed(batch).write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
 
     return (
         feed.writeStream.foreachBatch(decide_batch)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )

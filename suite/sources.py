@@ -15,7 +15,7 @@ from probanza.sources import sinks
 from probanza.sources import tables as S
 from suite.domain import DRIVER_TABLES, driver_table, table, tables, with_tables
 from suite.joins import ts
-from suite.profiles import each, union
+from suite.profiles import each, types_sql, union
 from suite.registry import register
 
 _CALLS = "call_center_interactions"
@@ -382,10 +382,26 @@ def inventory(spark, sf):
     )
 
 
-@register("a38_sample_statistics")
+def _all_cells(dataset: str, source: str) -> str:
+    return f"SELECT '{dataset}' AS dataset, column_name, nullif(trim(v), '') AS v FROM (SELECT COLUMNS(*)::VARCHAR FROM {source}) UNPIVOT INCLUDE NULLS (v FOR column_name IN (COLUMNS(*)))"
+
+
+@register(
+    "a38_sample_statistics",
+    with_tables("customers", "products", _CALLS)
+    + types_sql(
+        " UNION ALL ".join([
+            _all_cells("customers", "customers"), _all_cells("products", "products"),
+            _all_cells(_CALLS, f"(SELECT * REPLACE (coalesce(CAST({ts('interaction_date')} AS VARCHAR), '2024-01-15') AS interaction_date) FROM {_CALLS})"),
+        ])
+    ).replace("FROM x", ", true AS present_in_all_samples, regexp_matches(column_name, '(^|[_-])(id|key|number|no)$|(^|[_-])(id|key)([_-]|$)') AS primary_key_candidate FROM x"),
+)
 def sample_statistics(spark, sf):
-    """Column inventory of the first, middle and last file; which rows come first is up to the writer."""
-    return A.schema_recon(spark, csv_tree(spark, sf))
+    """Column inventory of the whole tree: all rows of all files are typed."""
+    return A.schema_recon(spark, csv_tree(spark, sf)).select(
+        "dataset", "column_name", "observed_nonempty_values", "observed_distinct_values_capped", "semantic_type", "present_in_all_samples",
+        "primary_key_candidate",
+    )
 
 
 @register(

@@ -99,17 +99,21 @@ def test_stream_answers_by_session(spark, frame, tmp_path):
     feed = tmp_path / "feed"
     feed.mkdir()
     rows = [("1", "saldo de mi cuenta", "authenticated"), ("2", "saldo de mi cuenta", "unauthenticated"), ("3", "saldo de mi cuenta", "wrong-owner"), ("4", " ", "authenticated"), ("5", "saldo", "bogus")]
+    live = {"processingTime": "0 seconds"}
     (feed / "a.json").write_text("\n".join(f'{{"request_id": "{i}", "customer_id": "C1", "query": "{q}", "session_mode": "{m}"}}' for i, q, m in rows))
     products = frame(CATALOG, [("C1", "P1", "Cuenta Ahorro", "9", "10", "COP")])
     out = str(tmp_path / "out")
-    start = lambda: Q.decision_stream(_feed(spark, feed), lambda: products, out, str(tmp_path / "cp"))
-    start().awaitTermination()
-    (feed / "b.json").write_text('{"request_id": "6", "customer_id": "C1", "query": "hola", "session_mode": null}')
-    start().awaitTermination()
+    left = str(tmp_path / "left")
+    start = lambda trigger: Q.decision_stream(_feed(spark, feed), lambda: products, out, str(tmp_path / "cp"), rejects=left, trigger=trigger)
+    start(None).awaitTermination()
+    running = start(live)
+    (feed / "b.json").write_text('{"request_id": "6", "customer_id": "C1", "query": "hola", "session_mode": null}\n{"request_id": "7", "customer_id": "C1"}')
+    running.processAllAvailable()
+    running.stop()
     got = {r.case_id: (r.predicted_action, r.predicted_balance) for r in spark.read.parquet(out).collect()}
     assert got == {"1": ("READ_BALANCE", "10.00"), "2": ("AUTH_REQUIRED", ""), "3": ("DENY", ""), "6": ("OUT_OF_SCOPE", "")}
-    rejected = Q.rejected_from_feed(spark.read.schema("request_id string, query string, session_mode string").json(str(feed)))
-    assert {r.request_id: r.error for r in rejected.collect()} == {"4": "query is required", "5": "invalid session_mode"}
+    rejected = spark.read.parquet(left)
+    assert {r.request_id: r.error for r in rejected.collect()} == {"4": "query is required", "5": "invalid session_mode", "7": "query is required"}
 
 
 def test_broken_catalog_stops_the_stream(spark, frame, tmp_path):

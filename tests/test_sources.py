@@ -131,9 +131,10 @@ def test_prefix_sample_and_recon(spark, tmp_path):
         put(tmp_path, f"d/year=2026/month=01/day={day}/f.csv", "row_id,was_ok,event_date\n" + body)
     sample = S.prefix_sample(S.with_position(spark.read.option("header", True).csv(str(tmp_path / "d"))), 2)
     assert {r.row_id for r in sample.collect()} == {"0", "1"} and sample.count() == 6
-    rows = {r.column_name: r for r in A.schema_recon(spark, str(tmp_path), 2).collect()}
+    rows = {r.column_name: r for r in A.schema_recon(spark, str(tmp_path)).collect()}
     assert rows["row_id"].semantic_type == "identifier" and rows["row_id"].primary_key_candidate
-    assert (rows["was_ok"].semantic_type, rows["was_ok"].observed_distinct_values_capped) == ("boolean", 1)
+    assert (rows["was_ok"].semantic_type, rows["was_ok"].observed_distinct_values_capped) == ("categorical", 2)
+    assert (rows["was_ok"].observed_nonempty_values, rows["was_ok"].present_in) == (180, 3)
     assert rows["event_date"].semantic_type == "date" and rows["event_date"].timestamp_or_date_candidate
     assert rows["event_date"].present_in_all_samples
 
