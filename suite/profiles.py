@@ -725,9 +725,9 @@ def workflow_b(spark, sf):
     SELECT dataset || '|' || column_name || '|' || metric AS record_id, value_num FROM x ORDER BY 1 LIMIT 12""",
 )
 def first_metrics(spark, sf):
-    from probanza.plans.evidence import quality_records
+    from probanza.plans.evidence import quality_records, table_facts
 
-    records = quality_records(tables(spark, sf, "complaints", "transactions"), vocab.SCOPED_COLUMNS)
+    records = quality_records(table_facts(tables(spark, sf, "complaints", "transactions"), vocab.SCOPED_COLUMNS))
     return M.first_metrics(records.select("record_id", "value_num"), ["record_id"])
 
 
@@ -739,6 +739,6 @@ def first_metrics(spark, sf):
       'rows' AS unit, 'EXACT' AS evidence_status, CAST(NULL AS VARCHAR) AS note FROM x""",
 )
 def metric_records(spark, sf):
-    from probanza.plans.evidence import quality_records
+    from probanza.plans.evidence import quality_records, table_facts
 
-    return quality_records(tables(spark, sf, "complaints", "transactions"), vocab.SCOPED_COLUMNS)
+    return quality_records(table_facts(tables(spark, sf, "complaints", "transactions"), vocab.SCOPED_COLUMNS))
