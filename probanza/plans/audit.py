@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from probanza.operators import metrics as M
 from probanza.operators import profile as P
 from probanza.operators import temporal as X
 from probanza.operators import workflow as W
+from probanza.session import side_by_side, written
 from probanza.sources import files as L
 from probanza.sources import sinks
 from probanza.sources import tables as S
@@ -51,13 +52,12 @@ def audit(tables: dict[str, DataFrame], files: DataFrame, run_date: str) -> dict
     graded = quality.withColumn(
         "severity", P.quality_severity(F.col("column_name"), F.col("missing_rows"), F.col("missing_pct"))
     )
-    edges = [e for e in vocab.DOCUMENTED_EDGES if e[0] in tables and e[2] in tables]
     artifacts = {
         "data_inventory": inventory(tables, files, quality, run_date),
         "data_quality": graded.withColumn("semantic_hints", F.array_join("semantic_hints", ",")),
         "volume": P.volume_vs_expected(P.row_counts(tables), vocab.EXPECTED_ROWS),
-        "foreign_key_quality": K.fk_row_profiles(tables, tuple(edges)),
-        "join_quality": K.relationship_status(tables, tuple(edges)),
+        "foreign_key_quality": K.fk_row_profiles(tables, vocab.DOCUMENTED_EDGES),
+        "join_quality": K.relationship_status(tables, vocab.DOCUMENTED_EDGES),
         "discovered_joins": K.discover_joins(tables),
         "security_review": P.pii_columns(P.columns_frame(quality.sparkSession, {t: d.columns for t, d in tables.items()})),
     }
@@ -142,5 +142,17 @@ def schema_recon(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def write(spark: SparkSession, artifacts: dict[str, DataFrame], reports_root: str) -> None:
+def run(spark: SparkSession, data_root: str, reports_root: str, run_date: str) -> dict[str, DataFrame]:
+    """Read every known dataset below a data root once, and write all artifacts of the audit as CSV."""
+    listing = L.list_files(spark, data_root).filter(F.col("dataset").isin(*vocab.EXPECTED_ROWS))
+    files = L.dataset_files(listing)
+    present = sorted(r.dataset for r in files.select("dataset").collect())  # at most the known ones
+
+    def load(name: str) -> DataFrame:
+        rows = S.read_by_name(spark, listing.filter(F.col("dataset") == name), data_root)
+        return written(rows.drop(S.SOURCE_FILE, *S.PARTITION_COLUMNS), f"audit-{name}")
+
+    tables = dict(zip(present, side_by_side(spark, [partial(load, name) for name in present])))
+    artifacts = audit(tables, files, run_date)
     sinks.write_artifacts(spark, artifacts, reports_root)
+    return artifacts

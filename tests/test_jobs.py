@@ -3,8 +3,6 @@ import pytest
 from probanza.plans import audit as A
 from probanza.plans import evidence as V
 from probanza.functions import vocab
-from probanza.sources import files as L
-from probanza.sources import tables as S
 from probanza.streaming import requests as Q
 
 
@@ -74,15 +72,14 @@ def test_evidence_pass(spark, data, tmp_path):
 
 
 def test_whole_audit(spark, data, tmp_path):
-    names = ("customers", "products", "service_agents", "transactions", "call_center_interactions", "call_transcripts", "complaints")
-    tables = {n: S.read_dataset(spark, str(data), n).drop(S.SOURCE_FILE, *S.PARTITION_COLUMNS) for n in names}
-    files = L.dataset_files(L.list_files(spark, str(data)))
-    artifacts = A.audit(tables, files, "2026-09-30")
-    A.write(spark, artifacts, str(tmp_path / "out"))
+    artifacts = A.run(spark, str(data), str(tmp_path / "out"), "2026-09-30")
+    assert {p.name for p in (tmp_path / "out").iterdir()} == set(artifacts)
     inventory = {r.dataset: r for r in artifacts["data_inventory"].collect()}
     assert inventory["transactions"].candidate_primary_key == "customer_id,product_id,transaction_id"
     assert (inventory["customers"].rows, inventory["customers"].files, inventory["transactions"].event_like) == (2, 1, True)
-    assert {r.status for r in artifacts["foreign_key_quality"].collect()} == {"observed"}
+    edges = {(r.child_table, r.child_column, r.parent_table): r.status for r in artifacts["foreign_key_quality"].collect()}
+    assert len(edges) == len(vocab.DOCUMENTED_EDGES) and edges["transactions", "customer_id", "customers"] == "observed"
+    assert {s for (child, _, parent), s in edges.items() if "campaign" in child + parent} == {"MISSING EVIDENCE"}
     daily = {(r.dataset, str(r.event_date)): r.rows for r in artifacts["temporal_coverage"].collect()}
     assert daily[("call_center_interactions", "2026-01-10")] == 3
 
