@@ -229,8 +229,13 @@ def count_where(condition: Column) -> Column:
 
 
 def money(c: Column | str) -> Column:
-    """Amount with two decimals, half to even; NULL when blank or unreadable."""
-    return F.bround(F.nullif(strip(c), F.lit("")).try_cast("decimal(38,18)"), 2).cast("decimal(38,2)")
+    """Amount with two decimals, half to even; NULL when blank or unreadable.
+
+    Up to 20 whole digits are read with 18 decimals, longer amounts (up to 34 digits) with four.
+    """
+    text = F.nullif(strip(c), F.lit(""))
+    read = [F.bround(text.try_cast(kind), 2).cast("decimal(38,2)") for kind in ("decimal(38,18)", "decimal(38,4)")]
+    return F.coalesce(*read)
 
 
 def money_text(c: Column | str) -> Column:

@@ -103,3 +103,9 @@ def test_percent_guards(spark):
         C.money(F.lit("2.665")).alias("m"),
     ).first()
     assert (row.z, row.n, row.p, row.m) == (0.0, None, 33.33, Decimal("2.66"))
+
+
+def test_money_of_many_digits(frame):
+    rows = frame("v", [("123456789012345678901234.565",), ("2.675",), ("1.125",), ("x",)])
+    got = [None if r[0] is None else str(r[0]) for r in rows.select(C.money("v")).collect()]
+    assert got == ["123456789012345678901234.56", "2.68", "1.12", None]
