@@ -100,8 +100,8 @@ def families(classes: DataFrame) -> DataFrame:
     return components(stars)
 
 
-def _links(sets: list[np.ndarray], blocks_of: np.ndarray, threshold: float) -> np.ndarray:
-    """Which pairs are similar; with two blocks only pairs across them are compared."""
+def _links(sets: list[np.ndarray], blocks_of: np.ndarray, across: bool, threshold: float) -> np.ndarray:
+    """Which pairs are similar; in a group of two blocks only pairs across them, even where one is empty."""
     n = len(sets)
     codes, owner = np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets])
     _, column, times = np.unique(codes, return_inverse=True, return_counts=True)
@@ -121,7 +121,7 @@ def _links(sets: list[np.ndarray], blocks_of: np.ndarray, threshold: float) -> n
     size = np.array([len(s) for s in sets])
     similar = common >= threshold * (size[:, None] + size[None, :] - common) - 1e-9
     np.fill_diagonal(similar, False)
-    if blocks_of.min() != blocks_of.max():
+    if across:
         similar &= blocks_of[:, None] != blocks_of[None, :]
     return similar
 
@@ -169,11 +169,11 @@ def verified(docs: DataFrame, classes: DataFrame, family: DataFrame, threshold:
 
     def compare(rows: list[dict]) -> pa.RecordBatch | None:
         by_node = {r["node"]: r for r in rows}  # repeated rows of one document
-        if len(by_node) < 2:
+        rows, across = list(by_node.values()), rows[0]["i"] != rows[0]["j"]
+        if len(rows) < 2 or (across and len({r["block"] for r in rows}) < 2):
             return None
-        rows = list(by_node.values())
         found = [np.frombuffer(r["codes"], dtype=np.uint64) for r in rows]
-        similar = _links(found, np.array([r["block"] for r in rows]), threshold)
+        similar = _links(found, np.array([r["block"] for r in rows]), across, threshold)
         links, first = similar.sum(axis=1), _forest(similar)
         hit = np.flatnonzero(links)
         nodes = np.array([r["node"] for r in rows])

@@ -289,6 +289,19 @@ def test_similarity_join(spark, odd, docs):
     assert near_duplicates.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_links_of_few_long_texts_count_once(spark):
+    rows = []
+    for n in (2, 3, 4, 5):
+        words = [f"f{n}w{k}" for k in range(72_000)]
+        for k in range(n):
+            own = words.copy()
+            own[1_000 * (k + 1)] = f"x{k}"
+            rows.append((100 * n + k, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_links"], r["group_id"]) for r in near_duplicates.near_duplicates(docs).collect()}
+    assert got == {i: (i // 100 - 1, i // 100 * 100) for i, _ in rows}
+
+
 def test_bands_reach_the_recall():
     rows, bands = near_duplicates.plan_bands(0.8, 0.999, 320)
     assert rows * bands <= 320 and 1 - (1 - 0.8**rows) ** bands >= 0.999
