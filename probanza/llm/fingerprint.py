@@ -2,12 +2,13 @@
 
 Of all runs of ``K`` words a text keeps those whose smallest run of ``S`` words (by hash) is the
 first or the last within them. Whether a run is kept depends on its own words only, so shared
-passages give the same anchors in any surroundings. A fingerprint holds the ``SIZE`` anchors with
-the smallest hashes, each with the word position of its first occurrence, in text order.
+passages give the same anchors in any surroundings. A fingerprint holds all anchors of the text,
+each with the word position of its first occurrence, in text order.
 
-The likeness of two fingerprints compares the smallest ``SIZE`` anchors of both together: the
-shared ones count where they keep their order from one to the next in both texts, and their share
-is given as twice the shared part over the sum of both (0: nothing in common, 1: equal).
+The likeness of two fingerprints compares all anchors of both: the shared ones count where they
+keep their order from one to the next in both texts, and their share is given as twice the shared
+part over the sum of both (0: nothing in common, 1: equal). Both lists are sorted together by hash,
+so the work grows with their length, not with its square.
 
 A text shorter than ``K`` words has one anchor, the hash of the whole text at position 0; null is
 an empty text. Equal texts have equal fingerprints. Only DataFrame functions are used.
@@ -25,12 +26,11 @@ from pyspark.sql import functions as F
 
 K = 5
 S = 2
-SIZE = 64
 _SPACE = "[ \\t-\\r]+"
 
 
 def with_anchors(rows: DataFrame, text: str, out: str) -> DataFrame:
-    """``rows`` with ``out``: array of (h, p), the smallest anchors of the text column in text order."""
+    """``rows`` with ``out``: array of (p, h), all anchors of the text column in text order."""
     words, inner, picked, least = (f"{out}_{x}" for x in ("words", "inner", "picked", "least"))
     n = F.size(words)
     rows = rows.withColumn(words, F.array_remove(F.split(text, _SPACE), ""))
@@ -48,7 +48,7 @@ def with_anchors(rows: DataFrame, text: str, out: str) -> DataFrame:
     whole = F.array(F.struct(F.xxhash64(text).bitwiseAND(0xFFFFFFFF).alias("h"), F.lit(0).alias("p")))
     rows = rows.withColumn(picked, F.when(n >= K, F.sort_array(hashed)))
     fresh = F.filter(picked, lambda x, k: (k == 0) | (F.get(picked, k - 1)["h"] != x["h"]))
-    some = F.when(F.size(picked) > 0, F.slice(fresh, 1, SIZE)).otherwise(whole)
+    some = F.when(F.size(picked) > 0, fresh).otherwise(whole)
     rows = rows.withColumn(least, some)
     by_place = F.sort_array(F.transform(least, lambda x: F.struct(x["p"].alias("p"), x["h"].alias("h"))))
     return rows.withColumn(out, by_place).drop(words, inner, picked, least)
@@ -61,16 +61,21 @@ def as_text(anchors: str) -> Column:
 
 def with_likeness(rows: DataFrame, a: str, b: str, out: str) -> DataFrame:
     """``rows`` with the likeness of two anchor columns."""
-    ha, hb = F.col(f"{a}.h"), F.col(f"{b}.h")
-    least, places = f"{out}_least", f"{out}_places"
-    rows = rows.withColumns({
-        least: F.slice(F.sort_array(F.array_union(ha, hb)), 1, SIZE), f"{out}_at": F.map_from_arrays(hb, F.col(f"{b}.p")),
-    })
-    shared = F.array_intersect(F.array_intersect(ha, F.col(least)), hb)  # in the order of the first text
-    rows = rows.withColumn(places, F.transform(shared, lambda h: F.element_at(f"{out}_at", h)))
-    kept = F.size(F.filter(places, lambda p, k: (k == 0) | (p > F.get(places, k - 1))))
-    share = kept / F.size(least)
-    return rows.withColumn(out, 2 * share / (1 + share)).drop(least, places, f"{out}_at")
+    both, pairs = f"{out}_both", f"{out}_pairs"
+
+    def sided(anchors: str, side: int) -> Column:
+        return F.transform(anchors, lambda x: F.struct(x["h"].alias("h"), F.lit(side).alias("side"), x["p"].alias("p")))
+
+    def shared(x: Column, k: Column) -> Column:
+        after = F.get(both, k + 1)
+        return F.when(after["h"] == x["h"], F.struct(x["p"].alias("a"), after["p"].alias("b")))
+
+    rows = rows.withColumn(both, F.sort_array(F.concat(sided(a, 0), sided(b, 1))))
+    found = F.filter(F.transform(both, shared), lambda x: x.isNotNull())
+    rows = rows.withColumn(pairs, F.sort_array(found))  # in the order of the first text
+    kept = F.size(F.filter(pairs, lambda x, k: (k == 0) | (x["b"] > F.get(pairs, k - 1)["b"])))
+    share = kept / (F.size(both) - F.size(pairs))
+    return rows.withColumn(out, 2 * share / (1 + share)).drop(both, pairs)
 
 
 def with_next(docs: DataFrame, ranges: int | None = None) -> tuple[DataFrame, Window]:

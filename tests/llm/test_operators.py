@@ -172,6 +172,23 @@ def test_fingerprints(odd, docs):
     assert fingerprint.fingerprints(odd).count() == odd.count() and fingerprint.fingerprints(odd.limit(0)).count() == 0
 
 
+def test_shared_passage_shows_in_long_fingerprints(spark):
+    passage = [f"p{k}" for k in range(200)]
+    texts = [[f"{s}{k}" for k in range(n)] for s, n in (("a", 20_000), ("b", 20_000))]
+    texts = [t[:c] + passage + t[c:] for t, c in zip(texts, (3_000, 11_000), strict=True)] + [passage]
+    rows = spark.createDataFrame([(3 - i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in fingerprint.fingerprints(rows).collect()}
+    anchors = {i: [x.split(":") for x in r["fingerprint"].split()] for i, r in got.items()}
+    inside = {h for _, h in anchors[1]}
+    assert len(inside) > 50
+    for i, cut in ((3, 3_000), (2, 11_000)):
+        assert inside == {h for p, h in anchors[i] if cut <= int(p) <= cut + 195}
+    sets = {i: {h for _, h in a} for i, a in anchors.items()}
+    for i, j in ((3, 2), (2, 1)):
+        share = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+        assert abs(got[i]["near_next"] - 2 * share / (1 + share)) < 0.001 and share > 0
+
+
 def test_license_scan(spark, docs):
     rows = docs.select("doc_id", "text")
     extra = [(90_001, "about\n\nReleased under the MIT License.\nend"), (90_002, None), (90_003, ""), (90_004, "a driver with a license to drive a car in the city")]
