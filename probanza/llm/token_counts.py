@@ -4,8 +4,9 @@ A first pass finds frequent pre-tokens: each task keeps a bounded summary (the `
 frequent, pruned as it fills) and hands over one row; summaries merge in two levels. The merged
 table maps pre-tokens to their number of tokens, has at most ``hot_size`` entries whatever the
 input, and is broadcast. The second pass splits each whole text into pre-tokens, adds up their
-lengths from the table, and encodes what is not in it through the worker's bounded cache. No
-pre-token is ever shuffled, and the table changes the speed only, never a count.
+lengths from the table, and encodes what is not in it through the worker's bounded cache. Only
+pre-tokens of up to ``LONGEST`` characters enter summaries, table and cache; longer ones are encoded
+where they occur. The table changes the speed only, never a count.
 
 Null text counts as empty (0 bytes, 0 tokens). Rows are kept as they are: repeated rows and null
 ids give a row each. Other columns of the input are ignored. An empty table gives no rows.
@@ -29,6 +30,8 @@ from probanza.llm.texts import Cache, blocks
 
 #: Most entries of the broadcast table; about 20 bytes each.
 HOT_SIZE = 1 << 15
+#: Characters (of at most two bytes) of the longest pre-token that summaries, table and cache hold.
+LONGEST = 64
 #: Texts with other characters go to the library whole, so that classes of characters never differ.
 _NOT_LATIN = re.compile("[^\x09-\x0d\x20-\x7eÀ-ɏ]")
 
@@ -40,7 +43,10 @@ class PieceCounter:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split = regex.compile(pattern).findall
-        self.lengths = Cache(lambda piece: len(pre_token_ids(self.tokenizer, piece)), frequent)
+        self.lengths = Cache(self.length, frequent)
+
+    def length(self, piece: str) -> int:
+        return len(pre_token_ids(self.tokenizer, piece))
 
     def encoded(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -55,7 +61,11 @@ class PieceCounter:
         if not text:
             return 0
         pieces = self.pieces(text)
-        return self.encoded(text) if pieces is None else sum(map(self.lengths.__getitem__, pieces))
+        if pieces is None:
+            return self.encoded(text)
+        if max(map(len, pieces), default=0) > LONGEST:
+            return sum(self.length(p) if len(p) > LONGEST else self.lengths[p] for p in pieces)
+        return sum(map(self.lengths.__getitem__, pieces))
 
 
 def _pack(counts: Counter, size: int) -> dict:
@@ -76,7 +86,7 @@ def frequent_pieces(docs: DataFrame, path: str, pattern: str, size: int = HOT_SI
         for batch in batches:
             for block in blocks(batch):
                 for text in block.column("text").to_pylist():
-                    counts.update((text and reader.pieces(text)) or ())
+                    counts.update(p for p in (text and reader.pieces(text)) or () if len(p) <= LONGEST)
                 if len(counts) > 4 * size:
                     counts = Counter(dict(counts.most_common(size)))
         packed = _pack(counts, size)
@@ -112,7 +122,7 @@ def token_counts(
     frequent = frequent_pieces(docs, tokenizer_path, pattern, hot_size)
     tokenizer = Tokenizer.from_file(tokenizer_path)
     lengths = [len(pre_token_ids(tokenizer, p)) for p in frequent]
-    table = spark.sparkContext.broadcast((frequent, np.array(lengths, dtype=np.uint16)))
+    table = spark.sparkContext.broadcast((frequent, np.array(lengths, dtype=np.int64)))
 
     def run(batches):
         pieces, lengths = table.value

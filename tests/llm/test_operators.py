@@ -77,6 +77,14 @@ def test_token_counts(odd, hot):
     assert all(r["over_limit"] == (r["n_tokens"] > 30) for r in got)
 
 
+def test_token_counts_of_long_pre_tokens(spark):
+    texts = [" " * 300_000, "\n" * 300_000, "a" * 300_000, "7" * 300_000, "a b " + " " * 70_000 + "c", "ab"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert all(len(p) <= token_counts.LONGEST for p in token_counts.frequent_pieces(docs, BYTES, public_tokenizers.PATTERN))
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs, BYTES, public_tokenizers.PATTERN).collect()}
+    assert got == {i: len(_ids(BYTES, t)) for i, t in enumerate(texts)}
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r["doc_id"]: r for r in language_id.predict(docs).collect()}
