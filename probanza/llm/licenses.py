@@ -7,7 +7,9 @@ and word pairs are counted into a vocabulary of fixed size, and a multinomial lo
 with an L1 share learns sparse weights for every licence family and for "none".
 
 **Unknown.** On a fold of rows kept from training, the lowest probability is sought from which on
-predicted families are right often enough; below it a paragraph is ``unknown`` (and not reported).
+predicted families are right often enough, and in the same way the lowest probability of any licence
+(one less that of "none"). A paragraph that reaches the second but not the first is reported as
+family ``unknown``, with its likeliest family's probability and template share, never confirmed.
 
 **Confirmation.** A predicted paragraph is compared with the notices of its family: the largest
 share of a notice's distinct words that it holds. From ``CONFIRMED`` on the prediction is
@@ -57,6 +59,7 @@ TEMPLATES: dict[str, list[str]] = {
     "proprietary": ["All rights reserved.", "Unauthorized copying of this file, via any medium, is strictly prohibited."],
 }
 NONE = "none"
+UNKNOWN = "unknown"
 SAMPLE_DOCS = 400
 #: Most negative paragraphs; those with the smallest hashes are taken.
 SAMPLE_PARAGRAPHS = 2000
@@ -116,17 +119,30 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 
 class Classifier:
-    """The fitted pipeline, its labels, and the lowest probability of a known family."""
+    """The fitted pipeline, its labels, and the lowest probabilities of a known family and of any licence."""
 
-    def __init__(self, model: PipelineModel, labels: list[str], least: float):
-        self.model, self.labels, self.least = model, labels, least
+    def __init__(self, model: PipelineModel, labels: list[str], least: float, any_least: float):
+        self.model, self.labels, self.least, self.any_least = model, labels, least, any_least
 
     def probabilities(self, rows: DataFrame) -> DataFrame:
-        """``rows`` (with words) with the most probable licence family and its probability."""
+        """``rows`` (with words) with the most probable licence family, its probability, and that of any licence."""
         chances = vector_to_array("probability")
         scored = self.model.transform(rows).withColumn("chances", chances)
         best = F.array_max(F.arrays_zip(F.slice("chances", 2, len(self.labels) - 1).alias("p"), F.lit(self.labels[1:]).alias("f")))
-        return scored.withColumn("best", best).select(*rows.columns, F.col("best.f").alias("family"), F.col("best.p").alias("probability"))
+        return scored.withColumn("best", best).select(
+            *rows.columns, F.col("best.f").alias("family"), F.col("best.p").alias("probability"),
+            (1 - F.get("chances", F.lit(0))).alias("any_probability"),
+        )
+
+
+def _lowest(chances: list[tuple[float, bool]], low: float, high: float) -> float | None:
+    """The lowest probability from which on enough predictions are right, within bounds; None if there is none."""
+    least, right = None, 0
+    for total, (chance, good) in enumerate(sorted(chances, reverse=True), start=1):
+        right += good
+        if right / total >= PRECISION:
+            least = min(max(chance, low), high)
+    return least
 
 
 def train(docs: DataFrame) -> Classifier:
@@ -143,24 +159,23 @@ def train(docs: DataFrame) -> Classifier:
             featuresCol="features", labelCol="y", family="multinomial", regParam=0.002, elasticNetParam=0.5, maxIter=40, standardization=False,
         ),
     ]
-    model = Classifier(Pipeline(stages=stages).fit(rows.filter("NOT fold").coalesce(4)), labels, 0.5)
-    held = model.probabilities(rows.filter("fold").select("words", "label")).select("label", "family", "probability").collect()
-    order = sorted(((r["probability"], r["label"] == r["family"]) for r in held), reverse=True)
-    right = total = 0
-    for chance, good in order:  # a bounded sample
-        total, right = total + 1, right + good
-        if right / total >= PRECISION:
-            model.least = min(max(chance, 0.2), 0.9)
+    model = Classifier(Pipeline(stages=stages).fit(rows.filter("NOT fold").coalesce(4)), labels, 0.5, 0.5)
+    held = model.probabilities(rows.filter("fold").select("words", "label")).drop("words").collect()  # a bounded sample
+    model.least = _lowest([(r["probability"], r["label"] == r["family"]) for r in held], 0.2, 0.9) or model.least
+    model.any_least = _lowest([(r["any_probability"], r["label"] != NONE) for r in held], 0.5, 0.9) or model.any_least
     return model
 
 
 def scan(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
-    """doc_id, paragraph, family, probability, template_share, confirmed of every paragraph of a known family."""
+    """doc_id, paragraph, family, probability, template_share, confirmed of every paragraph of a known family or ``unknown``."""
     model = model or train(docs)
-    found = model.probabilities(paragraphs(docs.select("doc_id", "text"))).filter(F.col("probability") >= model.least)
+    found = model.probabilities(paragraphs(docs.select("doc_id", "text")))
+    known = F.col("probability") >= model.least
+    found = found.filter(known | (F.col("any_probability") >= model.any_least))
     own = F.broadcast(templates(docs.sparkSession).groupBy(F.col("family").alias("f")).agg(F.collect_list("own").alias("notices")))
     share = F.array_max(F.transform("notices", lambda n: F.size(F.array_intersect(n, F.col("words"))) / F.size(n)))
     found = found.join(own, F.col("family") == F.col("f")).withColumn("template_share", share)
     return found.select(
-        "doc_id", "paragraph", "family", "probability", "template_share", (F.col("template_share") >= CONFIRMED).alias("confirmed")
+        "doc_id", "paragraph", F.when(known, F.col("family")).otherwise(UNKNOWN).alias("family"), "probability", "template_share",
+        (known & (F.col("template_share") >= CONFIRMED)).alias("confirmed"),
     )

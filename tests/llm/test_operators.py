@@ -212,6 +212,14 @@ def test_license_scan(spark, docs):
     assert licenses.scan(rows.limit(0), model).count() == 0
 
 
+def test_notices_of_unlisted_licences_are_unknown(spark, docs):
+    texts = ["Released under the ISC License.", "Distributed under the Boost Software License, Version 1.0.", "Licensed under the Artistic License 2.0."]
+    texts += ["Released under the MIT License.", "a driver with a license to drive a car in the city"]
+    rows = spark.createDataFrame([(i, f"about\n{t}") for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {(r["doc_id"], r["paragraph"]): (r["family"], r["confirmed"]) for r in licenses.scan(rows, licenses.train(docs)).collect()}
+    assert got == {(0, 1): ("unknown", False), (1, 1): ("unknown", False), (2, 1): ("unknown", False), (3, 1): ("mit", True)}
+
+
 @pytest.mark.parametrize("weights", [[1, 1], [5, 3, 2], [0.37, 0.21, 0.4, 0.02], [1] * 40])
 def test_schedule_deviates_less_than_a_block(weights):
     slots = mixing.slots_per_frame(weights, 1000)
