@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from probanza.llm import (
+    collisions,
+    divergence,
     fingerprint,
+    hard_negatives,
     language_id,
     licenses,
     mixing,
@@ -81,11 +84,23 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.round_trip(_table(spark, sf_dir, "documents"), path, END_ID)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collisions.near_dedup(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_language_id, op3_url_filter, op4_quality_rules, op5_fingerprints, op6_license_scan, op7_mixing,
-        op8_packing, op9_ngram_jaccard_join, op10_token_output,
+        op8_packing, op9_ngram_jaccard_join, op10_token_output, op11_hard_negatives, op12_source_divergence, op13_embedding_near_dedup,
     )
 }
 

@@ -88,4 +88,70 @@ links AS (SELECT a AS c, count(*) AS n FROM edge GROUP BY a)
 SELECT doc_id, class_id, n_copies, coalesce(links.n, 0) AS n_links, coalesce(group_id, class_id) AS group_id
 FROM member JOIN class USING (key) LEFT JOIN links ON links.c = class.c LEFT JOIN grp ON grp.c = class.c"""
 
-SQL: dict[str, str] = {"op4_quality_rules": _quality_rules(), "op9_ngram_jaccard_join": _NGRAM_JACCARD_JOIN}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _share(n: str, total: str) -> str:
+    return f"1 + (1000000000 * ({n} + 1)::HUGEINT) // ({total} + v)::HUGEINT"
+
+
+_SOURCE_DIVERGENCE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text
+  FROM documents),
+t AS (SELECT r, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), '{_UPPER}', '{_LOWER}') AS term
+  FROM d),
+kept AS (SELECT lang, term, count(*) AS lang_n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+lang_of AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT lang, source, v, lang_total, coalesce(total, 0) AS total FROM (SELECT DISTINCT lang, source FROM d)
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source) USING (lang, source) LEFT JOIN lang_of USING (lang)),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(n, 0) AS n, {_share("coalesce(n, 0)", "total")} AS p,
+    {_share("lang_n", "lang_total")} AS lang_p
+  FROM g JOIN kept ON kept.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+met AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN met ON met.lang = a.lang AND met.source = a.source AND met.item = b.source),
+own AS (SELECT lang, source, term AS item, (p - lang_p) * (p - lang_p) // lang_p AS value FROM p WHERE n > 0 AND p > lang_p),
+ranked AS (SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT lang, source, 'pair' AS part, item, value FROM pair UNION ALL SELECT lang, source, 'term', item, value FROM own))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
+
+#: Scores are sums of whole numbers below 2**53, so doubles hold them exactly.
+_HARD_NEGATIVES = """
+WITH x AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND coalesce(list_bool_and(list_transform(embedding, lambda c: coalesce(isfinite(c), false))), true)),
+scored AS (SELECT a.r, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM x a JOIN x b ON a.vec_id % 100 = 0 AND a.r <> b.r),
+positive AS (SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) <= 5),
+slot AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS k FROM positive),
+negative AS (SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, n.vec_id AS negative_id, n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.r, p.k ORDER BY n.score DESC, n.vec_id) AS rank
+  FROM slot p JOIN scored n ON n.r = p.r AND NOT n.same AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM negative WHERE rank <= 5"""
+
+
+_EMBEDDING_NEAR_DEDUP = """
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS r, vec_id, embedding,
+    list_bool_and(list_transform(embedding, lambda c: coalesce(isfinite(c), false))) AND list_bool_or(list_transform(embedding, lambda c: c <> 0)) AS ok
+  FROM embeddings),
+x AS (SELECT r, vec_id, CASE WHEN ok THEN list_transform(embedding, lambda c: coalesce(c, 0)::DOUBLE) ELSE [] END AS v FROM t),
+link AS (SELECT a.r AS a, b.r AS b FROM x a JOIN x b ON a.r <> b.r
+  AND CASE WHEN len(a.v) = len(b.v) AND len(a.v) > 0 THEN list_cosine_similarity(a.v, b.v) >= 0.95 ELSE false END),
+reach AS (SELECT r AS a, r AS b FROM x UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+comp AS (SELECT a AS r, min(vec_id) AS component_id FROM reach JOIN x ON x.r = reach.b GROUP BY a),
+degree AS (SELECT a AS r, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM x JOIN comp USING (r) LEFT JOIN degree USING (r)"""
+
+
+SQL: dict[str, str] = {
+    "op4_quality_rules": _quality_rules(),
+    "op9_ngram_jaccard_join": _NGRAM_JACCARD_JOIN,
+    "op11_hard_negatives": _HARD_NEGATIVES,
+    "op12_source_divergence": _SOURCE_DIVERGENCE,
+    "op13_embedding_near_dedup": _EMBEDDING_NEAR_DEDUP,
+}
