@@ -6,7 +6,6 @@ from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from probanza.functions import columns as C
 from probanza.functions import vocab
@@ -110,16 +109,16 @@ def feasibility(tables: dict[str, DataFrame], miss: str = "PARTIAL") -> DataFram
 def schema_recon(spark: SparkSession, root: str) -> DataFrame:
     """Column inventory of every dataset, from all rows of all files: types, roles, drift."""
     listing = L.list_files(spark, root)
+    names = [r.dataset for r in listing.select("dataset").distinct().orderBy("dataset").collect()]
     cells = []
-    for header, paths in sorted(S.headers_of(listing).items()):
-        schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
-        rows = spark.read.schema(schema).options(**S.RFC_4180).csv(paths)
-        cells.append(S.long_cells(rows))
-    long = reduce(DataFrame.unionByName, cells)
-    located = listing.select("dataset", F.regexp_replace("path", "^file:/+", "/").alias("file"))
-    long = long.withColumn("file", F.regexp_replace("file", "^file:/+", "/")).join(located, "file")
+    for name in names:
+        rows = S.read_dataset(spark, root, name, "DROPMALFORMED").drop(*S.PARTITION_COLUMNS)
+        cells.append(S.long_cells(rows, S.SOURCE_FILE).withColumn("dataset", F.lit(name)))
+    long = reduce(DataFrame.unionByName, cells).withColumn("file", F.regexp_replace("file", "^file:/+", "/"))
     overall = P.semantic_types(long, ["dataset", "column_name"])
-    per_file = P.semantic_types(long, ["dataset", "column_name", "file"])
+    # A file has the columns of its own header; the scan fills in the others.
+    own = L.file_headers(listing).select(F.regexp_replace("path", "^file:/+", "/").alias("file"), F.explode("header").alias("column_name"))
+    per_file = P.semantic_types(long, ["dataset", "column_name", "file"]).join(own, ["file", "column_name"])
     kinds = per_file.groupBy("dataset", "column_name").agg(
         F.count(F.lit(1)).alias("present_in"),
         F.array_join(F.array_sort(F.collect_set("semantic_type")), ",").alias("per_file_types"),
@@ -149,7 +148,7 @@ def run(spark: SparkSession, data_root: str, reports_root: str, run_date: str) -
     present = sorted(r.dataset for r in files.select("dataset").collect())  # at most the known ones
 
     def load(name: str) -> DataFrame:
-        rows = S.read_by_name(spark, listing.filter(F.col("dataset") == name), data_root)
+        rows = S.read_dataset(spark, data_root, name)
         return written(rows.drop(S.SOURCE_FILE, *S.PARTITION_COLUMNS), f"audit-{name}")
 
     tables = dict(zip(present, side_by_side(spark, [partial(load, name) for name in present])))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from functools import partial, reduce
 
 from pyspark.errors import AnalysisException
@@ -16,100 +15,57 @@ from probanza.functions import vocab
 from probanza.operators.score import last_record_wins
 from probanza.session import side_by_side, written
 from probanza.sources import files as L
+from probanza.sources import records as R
+from probanza.sources.records import RowWidthError
 
 SOURCE_FILE = "__source_file"
 PARTITION_COLUMNS = ("year", "month", "day")
-# Quotes are doubled inside quoted fields, which may hold line breaks; so a file is not split.
+# Quotes are doubled inside quoted fields, which may hold line breaks. Spark's own reader does not split such files.
 RFC_4180 = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
-# A quoted empty field stays '' and an unquoted one is NULL; no text equals this null marker.
-_BLANK_AWARE = {**RFC_4180, "emptyValue": "", "nullValue": "\u0000"}
-
-
 class CatalogError(RuntimeError):
     """The product catalog cannot be used; nothing may be decided."""
 
 
-class RowWidthError(ValueError):
-    """A CSV file holds rows of different widths, or a blank column name."""
-
-
 # --- scans ----------------------------------------------------------------------------------------
 def read_inferred(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """CSV with a header and inferred types; one layout for all files."""
     return spark.read.options(**RFC_4180).option("inferSchema", True).option("recursiveFileLookup", True).csv(path)
 
 
-def _text_schema(header: tuple[str, ...], partitions: tuple[str, ...] = ()) -> T.StructType:
-    if not header or any(not name.strip() for name in header):
+def column_names(listing: DataFrame) -> list[str]:
+    """Names in the headers of the listed files, each once, by their first place in a header."""
+    names = L.file_headers(listing).select(F.posexplode("header").alias("place", "name")).groupBy("name").agg(F.min("place").alias("place"))
+    found = [r.name for r in names.orderBy("place", "name").collect()]
+    if not found or any(not name.strip() for name in found):
         raise RowWidthError("blank or missing column name in a header")
-    names = [n for n in header if n not in partitions] + list(partitions)
-    return T.StructType([T.StructField(n, T.StringType()) for n in names])
-
+    return found
 
-def _partitions(paths: list[str]) -> tuple[str, ...]:
-    return tuple(p for p in PARTITION_COLUMNS if all(f"/{p}=" in path for path in paths))
 
+def read_dataset(spark: SparkSession, root: str, dataset: str, mode: str = "FAILFAST") -> DataFrame:
+    """All-text scan of one dataset below a data root; columns are matched by header name, absent ones NULL.
 
-def headers_of(listing: DataFrame) -> dict[tuple[str, ...], list[str]]:
-    """Paths per distinct header; one entry per file, as in the session's own file index."""
-    groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for row in L.file_headers(listing).toLocalIterator():
-        groups[tuple(row.header or ())].append(row.path)
-    return {h: sorted(p) for h, p in groups.items()}
-
-
-def read_by_name(spark: SparkSession, listing: DataFrame, root: str, mode: str = "FAILFAST") -> DataFrame:
-    """All-text scan of differing files, columns matched by header name, absent ones NULL.
-
-    Files are grouped by header first, because one CSV scan binds by position. Partition folders
-    become text columns that are never part of the file's own width. FAILFAST stops at a row that
-    is too long or too short; DROPMALFORMED skips it.
+    Files with differing headers meet in one scan that splits large files. Partition folders become
+    text columns that are never part of the file's own width. FAILFAST stops at a row that is too long
+    or too short; DROPMALFORMED skips it.
     """
-    frames = []
-    for header, paths in sorted(headers_of(listing).items()):
-        partitions = _partitions(paths)
-        reader = (
-            spark.read.schema(_text_schema(header, partitions))
-            .options(**_BLANK_AWARE)
-            .option("enforceSchema", False)
-            .option("columnPruning", False)
-            .option("mode", mode)
-        )
-        if partitions:
-            reader = reader.option("basePath", f"{L.plain_root(root)}/{_dataset_folder(paths[0], root)}")
-        frames.append(reader.csv(paths).withColumn(SOURCE_FILE, L.metadata_path()))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-
-
-def _dataset_folder(path: str, root: str) -> str:
-    root = L.plain_root(root)
-    return path[path.index(root) + len(root) + 1:].split("/")[0]
-
-
-def read_dataset(spark: SparkSession, root: str, dataset: str, mode: str = "FAILFAST") -> DataFrame:
-    """Strict all-text scan of one dataset below a data root."""
-    return read_by_name(spark, L.list_files(spark, root).filter(F.col("dataset") == dataset), root, mode)
+    listing = L.list_files(spark, root).filter(F.col("dataset") == dataset)
+    top = F.split_part("relative_path", F.lit("/"), F.lit(1)).alias("top")
+    tops = [r.top for r in listing.select(top).distinct().collect()]  # the folder, and a file of that name
+    if not tops:
+        raise FileNotFoundError(f"no file of {dataset} below {root}")
+    everywhere = listing.agg(*(F.bool_and(F.contains("path", F.lit(f"/{p}="))).alias(p) for p in PARTITION_COLUMNS)).first()
+    columns = column_names(listing)
+    rows = R.scan(spark, [f"{L.plain_root(root)}/{t}" for t in tops], columns, mode, pattern="*.csv")
+    parts = {p: F.url_decode(F.regexp_extract(R.FILE, f"/{p}=([^/]*)", 1)) for p in PARTITION_COLUMNS if everywhere[p]}
+    return rows.withColumns(parts).withColumnRenamed(R.FILE, SOURCE_FILE).select(*(f"`{c}`" for c in columns if c not in parts), *parts, SOURCE_FILE)
 
 
 def read_lenient(spark: SparkSession, paths: list[str], columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """(good rows, malformed rows with their raw text); undecodable bytes are replaced."""
-    schema = _text_schema(tuple(columns)).add("_corrupt_record", T.StringType())
-    rows = (
-        spark.read.schema(schema)
-        .options(**_BLANK_AWARE)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt_record")
-        .option("columnPruning", False)
-        .csv(paths)
-    )
-    bad = F.col("_corrupt_record").isNotNull()
-    malformed = rows.filter(bad & _reads(columns[0])).select("_corrupt_record", L.metadata_path().alias(SOURCE_FILE))
-    return rows.filter(~bad).drop("_corrupt_record"), malformed
-
-
-def _reads(column: str) -> Column:
-    """Always true; the CSV reader wants a data column read along with the raw record."""
-    return F.coalesce(F.col(f"`{column}`"), F.lit("")) != "\u0000"
+    rows = R.scan(spark, paths, columns, "PERMISSIVE", header=columns)
+    bad = F.col(R.MALFORMED).isNotNull()
+    malformed = rows.filter(bad).select(F.col(R.MALFORMED).alias("_corrupt_record"), F.col(R.FILE).alias(SOURCE_FILE))
+    return rows.filter(~bad).select(*(f"`{c}`" for c in columns)), malformed
 
 
 def scoped(df: DataFrame, wanted: list[str]) -> DataFrame:
@@ -121,12 +77,10 @@ def scoped(df: DataFrame, wanted: list[str]) -> DataFrame:
 
 def scoped_cache(spark: SparkSession, root: str, datasets: dict[str, tuple[str, ...]] | None = None) -> dict[str, DataFrame]:
     """Every dataset read once, cut to its scoped columns and written as Parquet for reuse."""
-    listing = L.list_files(spark, root)
     wanted = datasets or vocab.SCOPED_COLUMNS
 
     def load(name: str) -> DataFrame:
-        rows = read_by_name(spark, listing.filter(F.col("dataset") == name), root)
-        return written(scoped(rows, wanted[name]), f"scoped-{name}")
+        return written(scoped(read_dataset(spark, root, name), wanted[name]), f"scoped-{name}")
 
     return dict(zip(wanted, side_by_side(spark, [partial(load, name) for name in wanted])))
 
@@ -148,33 +102,17 @@ def prefix_sample(positioned: DataFrame, k: int) -> DataFrame:
     return positioned.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= k)
 
 
-def long_cells(rows: DataFrame) -> DataFrame:
+def long_cells(rows: DataFrame, file: str) -> DataFrame:
     """All cells of a file scan in long form: file, column, value."""
-    names = rows.columns
-    cells = rows.select(F.col("_metadata.file_path").alias("file"), *(F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")).alias(f"_{i}") for i, c in enumerate(names)))
-    return cells.select("file", F.inline(F.array(*(F.col(f"_{i}") for i in range(len(names))))))
+    names = [c for c in rows.columns if c != file]
+    cells = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in names))
+    return rows.select(F.col(file).alias("file"), F.inline(cells))
 
 
-def row_widths(spark: SparkSession, listing: DataFrame) -> DataFrame:
-    """(file, width, rows): how many fields the rows of every file hold."""
-    frames = []
-    for header, paths in sorted(headers_of(listing).items()):
-        schema = _text_schema(header).add("_corrupt_record", T.StringType())
-        rows = (
-            spark.read.schema(schema)
-            .options(**RFC_4180)
-            .option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", "_corrupt_record")
-            .option("columnPruning", False)
-            .csv(paths)
-        )
-        bare = F.regexp_replace("_corrupt_record", '"[^"]*"', "")
-        rows = rows.filter(_reads(header[0]))
-        width = F.when(F.col("_corrupt_record").isNull(), len(header)).otherwise(
-            F.length(bare) - F.length(F.translate(bare, ",", "")) + 1
-        )
-        frames.append(rows.select(L.metadata_path().alias("file"), width.cast("int").alias("width")))
-    return reduce(DataFrame.unionByName, frames).groupBy("file", "width").agg(F.count(F.lit(1)).alias("rows"))
+def row_widths(spark: SparkSession, root: str) -> DataFrame:
+    """(file, width, rows): how many fields the rows of every file below a folder hold."""
+    rows = R.scan(spark, L.plain_root(root), [], "PERMISSIVE", pattern="*.csv")
+    return rows.groupBy(F.col(R.FILE).alias("file"), F.col(R.WIDTH).alias("width")).agg(F.count(F.lit(1)).alias("rows"))
 
 
 def require_one_width(widths: DataFrame) -> None:

@@ -409,7 +409,7 @@ def sample_statistics(spark, sf):
     """SELECT CASE c_mktsegment WHEN 'BUILDING' THEN 3 WHEN 'MACHINERY' THEN 1 ELSE 2 END AS width, count(*) AS rows, true AS mixed FROM customer GROUP BY 1""",
 )
 def row_widths(spark, sf):
-    widths = S.row_widths(spark, L.list_files(spark, ragged_tree(spark, sf)))
+    widths = S.row_widths(spark, ragged_tree(spark, sf))
     total = widths.groupBy("width").agg(F.sum("rows").alias("rows"))
     kinds = widths.agg((F.count_distinct("width") > 1).alias("mixed")).scalar()
     return total.select("width", "rows", kinds.alias("mixed"))

@@ -84,7 +84,7 @@ def test_lenient_scan(spark, tmp_path):
 
 def test_widths(spark, tmp_path):
     put(tmp_path, "d.csv", 'a,b\n1,"x,y"\n2\n3,y,z\n4,w\n')
-    widths = S.row_widths(spark, L.list_files(spark, str(tmp_path)))
+    widths = S.row_widths(spark, str(tmp_path))
     assert {r.width: r.rows for r in widths.collect()} == {2: 2, 1: 1, 3: 1}
     with pytest.raises(S.RowWidthError):
         S.require_one_width(widths)
@@ -195,7 +195,7 @@ def test_quotes_and_line_breaks_in_fields(spark, tmp_path):
     for mode in ("FAILFAST", "DROPMALFORMED"):
         rows = S.read_dataset(spark, str(tmp_path), "notes", mode).select("id", "text").orderBy("id").collect()
         assert [tuple(r) for r in rows] == want
-    S.require_one_width(S.row_widths(spark, L.list_files(spark, str(tmp_path))))
+    S.require_one_width(S.row_widths(spark, str(tmp_path)))
     sinks.write_csv(spark.createDataFrame(want, "id string, text string"), str(tmp_path / "out"))
     again = spark.read.options(**S.RFC_4180).csv(str(tmp_path / "out")).orderBy("id").collect()
     assert [tuple(r) for r in again] == want
