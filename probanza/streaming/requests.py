@@ -1,8 +1,9 @@
-"""Decisions over a live feed of requests: a stream joined with the static catalog.
+"""Decisions over a live feed of requests: a stream joined with a versioned catalog.
 
-The job is stateless, so it needs no watermark. Each micro-batch reads the catalog again through
-``load``, which stops the batch when the catalog is broken; a stale or empty catalog can never
-answer. A batch is written under its id, so a replayed batch replaces its own output.
+The job is stateless, so it needs no watermark. Each micro-batch asks for the catalog's version; the
+catalog is read only when that has changed, and a broken or empty new version stops the batch, so a
+stale or empty catalog can never answer. A batch is written under its id, so a replayed batch replaces
+its own output.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from probanza.functions import columns as C
 from probanza.operators import decide as D
-from probanza.sources.tables import require_catalog
+from probanza.streaming.catalog import VersionedCatalog
 
 SESSION_MODES = ("authenticated", "unauthenticated", "wrong-owner")
 
@@ -48,6 +49,7 @@ def rejected_from_feed(feed: DataFrame) -> DataFrame:
 def decision_stream(
     feed: DataFrame,
     load: Callable[[], DataFrame],
+    version: Callable[[], str],
     target: str,
     checkpoint: str,
     other_customer: str = "CLI-OTHER-OWNER",
@@ -56,16 +58,23 @@ def decision_stream(
 ) -> StreamingQuery:
     """Start the job: decide every request and write the answers as Parquet, and rejected rows to ``rejects``.
 
+    ``version`` tells cheaply which catalog ``load`` would read (``catalog.path_version`` for files); snapshots
+    of it lie beside the checkpoint. Answers carry the version that they rest on.
     ``trigger`` holds the arguments of Spark's trigger, such as ``{"processingTime": "10 seconds"}``
     for a live feed; without it the job decides what is available and ends.
     """
 
+    catalog = VersionedCatalog(feed.sparkSession, load, version, f"{checkpoint.rstrip('/')}-catalog")
+
     def decide_batch(batch: DataFrame, batch_id: int) -> None:
-        products = require_catalog(load())
-        answers = D.decide(requests_from_feed(batch, other_customer), products)
+        used = catalog.refresh()
+        batch = batch.persist()
+        requests = requests_from_feed(batch, other_customer)
+        answers = D.decide_with(requests, catalog.of(requests)).withColumn("catalog_version", F.lit(used))
         answers.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
         if rejects:
             rejected_from_feed(batch).write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
+        batch.unpersist()
 
     return (
         feed.writeStream.foreachBatch(decide_batch)

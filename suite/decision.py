@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from probanza.operators import decide as D
 from probanza.session import scratch_path
+from probanza.streaming.catalog import path_version
 from probanza.streaming.requests import decision_stream
 from suite.domain import driver_table, table, tables, with_tables
 from suite.registry import register
@@ -207,7 +208,8 @@ def request_stream(spark, sf):
     stream = spark.readStream.schema(stored.schema).option("pathGlobFilter", "conversations.parquet").parquet(sf)
     feed = spark.sql(_FEED, src=stream)
     target, checkpoint = scratch_path(spark, "answers"), scratch_path(spark, "stream")
-    decision_stream(feed, lambda: table(spark, sf, "products"), target, checkpoint).awaitTermination()
+    version = lambda: path_version(spark, sf, "orders.parquet")  # noqa: E731  (products are derived from orders)
+    decision_stream(feed, lambda: table(spark, sf, "products"), version, target, checkpoint).awaitTermination()
     return spark.read.option("basePath", target).parquet(f"{target}/batch=*").select(
         "case_id", "predicted_action", "predicted_balance", "response"
     )

@@ -3,6 +3,7 @@ import pytest
 from probanza.plans import audit as A
 from probanza.plans import evidence as V
 from probanza.functions import vocab
+from probanza.streaming import catalog as K
 from probanza.streaming import requests as Q
 
 
@@ -101,7 +102,7 @@ def test_stream_answers_by_session(spark, frame, tmp_path):
     products = frame(CATALOG, [("C1", "P1", "Cuenta Ahorro", "9", "10", "COP")])
     out = str(tmp_path / "out")
     left = str(tmp_path / "left")
-    start = lambda trigger: Q.decision_stream(_feed(spark, feed), lambda: products, out, str(tmp_path / "cp"), rejects=left, trigger=trigger)
+    start = lambda trigger: Q.decision_stream(_feed(spark, feed), lambda: products, lambda: "1", out, str(tmp_path / "cp"), rejects=left, trigger=trigger)
     start(None).awaitTermination()
     running = start(live)
     (feed / "b.json").write_text('{"request_id": "6", "customer_id": "C1", "query": "hola", "session_mode": null}\n{"request_id": "7", "customer_id": "C1"}')
@@ -113,12 +114,66 @@ def test_stream_answers_by_session(spark, frame, tmp_path):
     assert {r.request_id: r.error for r in rejected.collect()} == {"4": "query is required", "5": "invalid session_mode", "7": "query is required"}
 
 
+def _request(feed, name, number, customer="C1"):
+    (feed / name).write_text(f'{{"request_id": "{number}", "customer_id": "{customer}", "query": "saldo de mi cuenta", "session_mode": "authenticated"}}')
+
+
 def test_broken_catalog_stops_the_stream(spark, frame, tmp_path):
     feed = tmp_path / "feed"
     feed.mkdir()
-    (feed / "a.json").write_text('{"request_id": "1", "customer_id": "C1", "query": "saldo", "session_mode": "authenticated"}')
+    _request(feed, "a.json", 1)
     empty = frame(CATALOG, [("C1", "P1", "t", "9", "1", "COP")]).filter("false")
-    query = Q.decision_stream(_feed(spark, feed), lambda: empty, str(tmp_path / "out"), str(tmp_path / "cp"))
+    query = Q.decision_stream(_feed(spark, feed), lambda: empty, lambda: "1", str(tmp_path / "out"), str(tmp_path / "cp"))
     with pytest.raises(Exception, match="no rows"):
         query.awaitTermination()
     assert not (tmp_path / "out").exists()
+
+
+def test_catalog_is_read_once_per_version(spark, frame, tmp_path):
+    feed, catalog, out = tmp_path / "feed", tmp_path / "catalog", str(tmp_path / "out")
+    feed.mkdir()
+    catalog.mkdir()
+    reads = []
+
+    def offer(balance):
+        rows = [f"C{k},P{k},Cuenta Ahorro,9,{balance + k},COP" for k in range(300)]
+        (catalog / "p.csv").write_text("\n".join([CATALOG.replace(" ", ","), *(rows if balance else [])]) + "\n")
+
+    def load():
+        reads.append(1)
+        return spark.read.option("header", True).csv(str(catalog))
+
+    def run():
+        stream = _feed_of_one(spark, feed)
+        Q.decision_stream(stream, load, lambda: K.path_version(spark, str(catalog)), out, str(tmp_path / "cp")).awaitTermination()
+
+    def answered():
+        return {r.case_id: r.predicted_balance for r in spark.read.parquet(out).collect()}
+
+    offer(100)
+    for number in (1, 2, 3):
+        _request(feed, f"{number}.json", number, f" C{number} ")
+    run()
+    assert answered() == {"1": "101.00", "2": "102.00", "3": "103.00"} and len(reads) == 1
+    assert spark.read.parquet(out).select("batch").distinct().count() == 3
+    _request(feed, "4.json", 4)
+    run()  # a restart finds the snapshot
+    assert answered()["4"] == "101.00" and len(reads) == 1
+    offer(200)
+    _request(feed, "5.json", 5)
+    run()
+    assert answered()["5"] == "201.00" and len(reads) == 2
+    offer(0)
+    _request(feed, "6.json", 6)
+    for _ in range(2):
+        with pytest.raises(Exception, match="no rows"):
+            run()
+    assert set(answered()) == {"1", "2", "3", "4", "5"}
+    offer(300)
+    run()
+    assert answered()["6"] == "301.00" and spark.read.parquet(out).select("catalog_version").distinct().count() == 3
+
+
+def _feed_of_one(spark, path):
+    schema = "request_id string, customer_id string, query string, session_mode string"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(path))
