@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from probanza.functions import columns as C
 from probanza.functions import vocab
+from probanza.session import written
 
 Edge = tuple[str, str, str, str]
 
@@ -311,26 +312,37 @@ def multiplicity(child: DataFrame, child_key: str, parent: DataFrame, parent_key
     )
 
 
+#: Tables that one word of a value's bitmap tells apart.
+WORD = 62
+#: Longer identifiers travel as digests of this many bytes.
+LONG_KEY = 64
+
+
 def discover_joins(tables: dict[str, DataFrame], pattern: str = vocab.ID_COLUMN) -> DataFrame:
     """Every ordered pair of tables whose equally named identifiers share values.
 
-    All identifiers are stacked once and each value becomes the set of tables that hold it. Counting the sets leaves a frame bounded by the number of table sets, and only that
-    small frame is expanded into pairs.
+    All identifiers are stacked once. Each value gets a bitmap of the tables that hold it, as one word for
+    every ``WORD`` tables, in a plain hash aggregate on the map side and after one shuffle. Counting the
+    bitmaps leaves a frame bounded by the number of table sets; it is written once, and only it is expanded
+    into pairs.
     """
     from probanza.operators.profile import named
 
     names = sorted(tables)
+    words = [f"_w{i}" for i in range(-(-len(names) // WORD))]
     stacked = []
-    for t in names:
+    for i, t in enumerate(names):
         ids = named(tables[t].columns, pattern)
         if ids:
             cells = tables[t].select(*(C.key_of(F.col(f"`{c}`")).alias(c) for c in ids))
             long = cells.unpivot([], [F.col(f"`{c}`") for c in ids], "key_column", "value").filter("value is not null")
-            stacked.append(long.select("key_column", "value", F.lit(t).alias("table")))
-    held = reduce(DataFrame.unionByName, stacked).groupBy("key_column", "value").agg(
-        F.sort_array(F.collect_set("table")).alias("members")
-    )
-    sets = held.groupBy("key_column", "members").agg(F.count(F.lit(1)).alias("n"))
+            value = F.when(F.length("value") <= LONG_KEY, F.col("value")).otherwise(F.sha2("value", 256)).alias("value")
+            bits = [F.lit(1 << i % WORD if k == i // WORD else 0).cast("long").alias(w) for k, w in enumerate(words)]
+            stacked.append(long.select("key_column", value, *bits))
+    held = reduce(DataFrame.unionByName, stacked).groupBy("key_column", "value").agg(*(F.bit_or(w).alias(w) for w in words))
+    counted = written(held.groupBy("key_column", *words).agg(F.count(F.lit(1)).alias("n")), "table-sets")
+    holds = [F.when(F.col(words[i // WORD]).bitwiseAND(1 << i % WORD) != 0, F.lit(t)) for i, t in enumerate(names)]
+    sets = counted.select("key_column", "n", F.array_compact(F.array(*holds)).alias("members"))
     sides = sets.select("key_column", "n", F.explode("members").alias("child"), "members")
     sizes = sides.groupBy("key_column", "child").agg(F.sum("n").alias("distinct_keys"))
     pairs = (

@@ -4,62 +4,89 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from probanza.functions import columns as C
 from probanza.operators import metrics as M
+from probanza.session import written
 
 
 # --- exact median ---------------------------------------------------------------------------------
-def exact_median(df: DataFrame, value: str, by: list[str] | None = None, width: int = 86_400) -> DataFrame:
-    """Exact median of an integer column per group, without gathering a group in one task.
+#: Bits of a value that one round of the selection tells apart; a round counts at most 2**DIGIT cells a group.
+DIGIT = 16
+_SIGN = -(1 << 63)
 
-    Rows are counted per value, values per bucket of ``width``. Running totals over the buckets
-    (one per day for seconds) show which buckets hold the middle rows; only the values inside those
-    are ranked.
+
+def exact_median(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+    """Exact median of an integer column per group; see ``median_of_rows``. NULL weighs nothing."""
+    return median_of_rows(*narrow_rows(df, value, by or []), by or [])
+
+
+def narrow_rows(df: DataFrame, value: str, by: list[str]) -> tuple[DataFrame, int | None, int | None]:
+    """(by, v) written once, with the least and the largest value, which are noted while it is written."""
+    seen = Observation()
+    v = F.col(value).cast("bigint").alias("v")
+    rows = written(df.select(*by, v).observe(seen, F.min("v").alias("low"), F.max("v").alias("high")), "values")
+    return rows, seen.get["low"], seen.get["high"]
+
+
+def median_of_rows(rows: DataFrame, low: int | None, high: int | None, by: list[str]) -> DataFrame:
+    """(by, median) of ``rows`` (by, v) by radix selection; NULL for a group without values.
+
+    A round counts rows by the next ``DIGIT`` bits, from the highest bits in which values can differ,
+    finds the digits that hold the two middle rows, and goes on with the rows of those digits. Cells are
+    bounded by the digit, not by the number of distinct values, and no window orders them.
     """
-    return median_of_counts(value_counts(df, value, by), by, width)
-
-
-def value_counts(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """(v, n): rows per value and group; NULL weighs nothing."""
-    v = F.col(value).cast("bigint")
-    return df.groupBy(*(by or []), v.alias("v")).agg(F.count(v).alias("n"))
-
-
-def median_of_counts(counts: DataFrame, by: list[str] | None = None, width: int = 86_400) -> DataFrame:
-    """Exact median of counted values (v, n)."""
-    by = by or []
-    bucket = F.floor(F.col("v") / width).alias("bucket")
-    buckets = counts.groupBy(*by, bucket).agg(F.sum("n").alias("in_bucket"))
-    whole = Window.partitionBy(*by)
-    upto = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = buckets.select(
-        *by,
-        "bucket",
-        (F.sum("in_bucket").over(upto) - F.col("in_bucket")).alias("before_bucket"),
-        "in_bucket",
-        F.sum("in_bucket").over(whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"),
-    )
-    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
-    first, last = F.col("before_bucket"), F.col("before_bucket") + F.col("in_bucket") - 1
-    middle = placed.filter(((first <= low) & (low <= last)) | ((first <= high) & (high <= last)))
-    inner = Window.partitionBy(*by, "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    keys = [*by, "bucket"]
-    wanted = middle.withColumnsRenamed({k: f"_{k}" for k in keys})
-    # A null-safe match: a plain one would push an IS NOT NULL of the whole expression to the scan.
-    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-    ranked = (
-        counts.select("*", bucket)
-        .join(wanted, same)
-        .select(*by, "v", "total", "n", (F.col("before_bucket") + F.sum("n").over(inner)).alias("upto"))
+    groups = rows.select(*by).distinct() if by else rows.agg(F.count(F.lit(1)).alias("_rows"))
+    if low is None:
+        return groups.select(*by, F.lit(None).cast("double").alias("median"))
+    narrow = high - low < 1 << 63
+    # Distances from the lowest value, or, where those exceed a long, the values in the order of unsigned ones.
+    place = F.col("v") - F.lit(low) if narrow else F.col("v").bitwiseXOR(_SIGN)
+    left = rows.filter("v IS NOT NULL").select(*by, place.alias("_at"))
+    targets = None
+    for later in range(max(1, -(-(high - low).bit_length() // DIGIT) if narrow else 64 // DIGIT) - 1, -1, -1):
+        shift = DIGIT * later
+        digit = F.shiftrightunsigned("_at", shift).bitwiseAND((1 << DIGIT) - 1).alias("_digit")
+        if targets is None:
+            cells = _ordered(left.groupBy(*by, digit).agg(F.count(F.lit(1)).alias("_n")), by)
+            total = F.aggregate("_cells", F.lit(0).cast("long"), lambda a, c: a + c["n"])
+            ends = F.posexplode(F.array(F.floor((total - 1) / 2), F.floor(total / 2))).alias("_end", "_rank")
+            cells = cells.select(*by, "_cells", ends).withColumn("_prefix", F.lit(0).cast("long"))
+        else:
+            wanted = targets.withColumnsRenamed({c: f"_{c}" for c in by})
+            same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by] + [F.shiftrightunsigned("_at", shift + DIGIT) == F.col("_prefix")]
+            keys = [*by, "_end", "_rank", "_prefix"]
+            cells = _ordered(left.join(wanted, reduce(Column.__and__, same)).groupBy(*keys, digit).agg(F.count(F.lit(1)).alias("_n")), keys)
+        found = cells.withColumn("_found", _digit_of_rank(F.col("_cells"), F.col("_rank")))
+        prefix = F.shiftleft("_prefix", DIGIT) + F.col("_found.digit")
+        targets = found.select(*by, "_end", F.col("_found.rank").alias("_rank"), prefix.alias("_prefix"))
+        targets = written(targets, "median-digits") if later else targets  # two rows a group
+    value = F.col("_prefix") + F.lit(low) if narrow else F.col("_prefix").bitwiseXOR(_SIGN)
+    middle = targets.groupBy(*by).agg((F.sum(value.cast("decimal(20,0)")) / 2).cast("double").alias("median"))
+    if not by:
+        return middle
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    return groups.join(middle.withColumnsRenamed({c: f"_{c}" for c in by}), reduce(Column.__and__, same), "left").select(*by, "median")
+
+
+def _ordered(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """The counted digits of each group in order; at most 2**DIGIT of them."""
+    listed = F.array_sort(F.collect_list(F.struct(F.col("_digit").cast("long").alias("digit"), F.col("_n").alias("n"))))
+    return counts.groupBy(*keys).agg(listed.alias("_cells"))
+
+
+def _digit_of_rank(cells: Column, rank: Column) -> Column:
+    """The digit whose rows hold the one of this rank (from 0), and its rank among them."""
+    start = F.struct(rank.cast("long").alias("rank"), F.lit(None).cast("long").alias("digit"))
+    return F.aggregate(
+        cells, start,
+        lambda s, c: F.when(s["digit"].isNotNull(), s)
+        .when(s["rank"] < c["n"], F.struct(s["rank"].alias("rank"), c["digit"].alias("digit")))
+        .otherwise(F.struct((s["rank"] - c["n"]).alias("rank"), s["digit"].alias("digit"))),
     )
-    holds_low = (F.col("upto") - F.col("n") <= low) & (low < F.col("upto"))
-    holds_high = (F.col("upto") - F.col("n") <= high) & (high < F.col("upto"))
-    middle_sum = F.max(F.when(holds_low, F.col("v"))) + F.max(F.when(holds_high, F.col("v")))
-    return ranked.groupBy(*by).agg((middle_sum / 2).cast("double").alias("median"))
 
 
 # --- calendar -------------------------------------------------------------------------------------
@@ -142,14 +169,19 @@ def ordering_tally(df: DataFrame, process: str, event: str) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("rows")).select("granularity", C.ordering_label("compared").alias("ordering"), "rows")
 
 
-def lag_profile(df: DataFrame, process: str, event: str) -> DataFrame:
-    """Smallest, largest and median lag in seconds, granularity-aware."""
-    lags = process_event(df, process, event).select(C.lag_seconds("p", "e", F.col("timed")).alias("lag"))
-    counts = value_counts(lags, "lag")
-    # Rows are asked for as well, so that both uses of the counts share one shuffle.
-    ends = counts.agg(F.min("v").alias("lag_min"), F.max("v").alias("lag_max"), F.sum("n").alias("rows"))
-    median = median_of_counts(counts).scalar()
-    return ends.select("lag_min", "lag_max", F.when(F.col("rows") > 0, median).alias("lag_median"))
+def lag_profiles(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
+    """Smallest, largest and median lag in seconds of each (table, process, event), granularity-aware.
+
+    The lags of all tables are parsed and written once, and every later step covers all tables.
+    """
+    lags = [
+        process_event(df, process, event).select(F.lit(name).alias("dataset"), C.lag_seconds("p", "e", F.col("timed")).alias("lag"))
+        for name, (df, process, event) in tables.items()
+    ]
+    rows, low, high = narrow_rows(reduce(DataFrame.unionByName, lags), "lag", ["dataset"])
+    ends = rows.groupBy("dataset").agg(F.min("v").alias("lag_min"), F.max("v").alias("lag_max"))
+    medians = median_of_rows(rows, low, high, ["dataset"])
+    return ends.join(medians, "dataset").select("dataset", "lag_min", "lag_max", F.col("median").alias("lag_median"))
 
 
 def partition_alignment(df: DataFrame, event: str, path: str) -> DataFrame:

@@ -125,7 +125,7 @@ def date_series(spark, sf):
 @register("f14_median", "SELECT event_type, median(CAST(round(value * 100) AS BIGINT)) AS median FROM events GROUP BY 1")
 def median(spark, sf):
     cents = driver_table(spark, sf, "events").select("event_type", F.round(F.col("value") * 100).cast("bigint").alias("cents"))
-    return X.exact_median(cents, "cents", ["event_type"], width=1000)
+    return X.exact_median(cents, "cents", ["event_type"])
 
 
 @register("f15_hashes", "SELECT doc_id, md5(text) AS md5, sha256(text) AS sha256 FROM documents")

@@ -132,7 +132,7 @@ def ship_before_order(spark, sf):
 def lag_profile(spark, sf):
     events = {"transactions": "transaction_date", _CALLS: "interaction_date"}
     t = tables(spark, sf, *events)
-    return union(X.lag_profile(t[n], "process_date", e).select(F.lit(n).alias("dataset"), "*") for n, e in events.items())
+    return X.lag_profiles({n: (t[n], "process_date", e) for n, e in events.items()})
 
 
 _PATHS = f"""SELECT *, 'root/{_CALLS}/year=' || strftime(x, '%Y') || '/month=' || strftime(x, '%m') ||

@@ -58,6 +58,15 @@ def test_discovery_against_brute_force(frame):
     assert got == want
 
 
+def test_discovery_over_seventy_tables(frame):
+    long = "x" * 100
+    tables = {f"t{i:02d}": frame("a_id", [(str(i % 7),), (f"{long}{i % 35}",), (None,)]) for i in range(70)}
+    found = K.discover_joins(tables).collect()
+    assert len(found) == 70 * 9 and {(r.child_distinct, r.matched_distinct) for r in found} == {(2, 1), (2, 2)}
+    same = {(r.child, r.parent) for r in found if r.matched_distinct == 2}
+    assert same == {(f"t{i:02d}", f"t{(i + 35) % 70:02d}") for i in range(70)}
+
+
 def test_salted_lookup_equals_the_plain_join(spark):
     rows = [("hot", i) for i in range(400)] + [(None, i) for i in range(300)] + [(f"k{i % 50}", i) for i in range(300)]
     fact = spark.createDataFrame(rows, "k string, i int")

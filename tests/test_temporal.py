@@ -19,17 +19,41 @@ def metrics(df):
 @given(st.lists(st.integers(-500000, 500000), min_size=1, max_size=40))
 def test_exact_median(spark, values):
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v bigint")
-    assert X.exact_median(df, "v", width=1000).first().median == statistics.median(values)
+    assert X.exact_median(df, "v").first().median == statistics.median(values)
 
 
 def test_exact_median_by_group(spark):
     rng = random.Random(3)
     rows = [(g, rng.randint(-9, 9)) for g in "ab" for _ in range(51)] + [("hot", 5)] * 200 + [("hot", 6)] * 200
-    got = {r.g: r.median for r in X.exact_median(spark.createDataFrame(rows, "g string, v bigint"), "v", ["g"], width=4).collect()}
+    got = {r.g: r.median for r in X.exact_median(spark.createDataFrame(rows, "g string, v bigint"), "v", ["g"]).collect()}
     for g in ("a", "b", "hot"):
         assert got[g] == statistics.median([v for k, v in rows if k == g])
 
 
+@pytest.mark.parametrize(
+    "values",
+    [[-(1 << 63), (1 << 63) - 1], [-(1 << 63), 5, (1 << 63) - 1, 6, 7, 7], [(1 << 40) * k for k in range(9)], [-(1 << 62), -3, 4, 1 << 62], [0] * 7, [-70000, 70000]],
+)
+def test_exact_median_of_any_range(spark, values):
+    assert X.exact_median(spark.createDataFrame([(v,) for v in values], "v bigint"), "v").first().median == float(statistics.median(values))
+
+
+def test_exact_median_counts_digits_not_values(spark):
+    rows = spark.range(300_000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 300_007 * 1000).alias("v"))
+    rows = rows.unionByName(spark.createDataFrame([(None, 4), (None, None), (9, None)], "g bigint, v bigint"))
+    got = {r.g: r.median for r in X.exact_median(rows, "v", ["g"]).collect()}
+    plain = {}
+    for g, v in ((r.g, r.v) for r in rows.collect()):
+        plain.setdefault(g, []).extend([] if v is None else [v])
+    assert got == {g: float(statistics.median(v)) if v else None for g, v in plain.items()}
+
+
+def test_lag_profiles(frame):
+    t = {"a": frame("p e", [("2026-01-10 10:00:00", "2026-01-10 09:00:00"), ("2026-01-12", "2026-01-10"), ("x", "2026-01-10")]), "b": frame("p e", [("", "2026-01-10")])}
+    got = {r.dataset: (r.lag_min, r.lag_max, r.lag_median) for r in X.lag_profiles({n: (d, "p", "e") for n, d in t.items()}).collect()}
+    assert got == {"a": (3600, 172800, 88200.0), "b": (None, None, None)}
+
+
 def test_profile_of_same_day_repeats(frame):
     rows = [(f"2026-01-10 0{i}:00:00", "2026-01-10") for i in range(1, 6)]
     m = metrics(X.temporal_profile(frame("event process", rows), "t", "event", "process", "2026-09-30"))
