@@ -39,19 +39,20 @@ def median_of_rows(rows: DataFrame, low: int | None, high: int | None, by: list[
     finds the digits that hold the two middle rows, and goes on with the rows of those digits. Cells are
     bounded by the digit, not by the number of distinct values, and no window orders them.
     """
-    groups = rows.select(*by).distinct() if by else rows.agg(F.count(F.lit(1)).alias("_rows"))
     if low is None:
+        groups = rows.select(*by).distinct() if by else rows.agg(F.count(F.lit(1)).alias("_rows"))
         return groups.select(*by, F.lit(None).cast("double").alias("median"))
     narrow = high - low < 1 << 63
     # Distances from the lowest value, or, where those exceed a long, the values in the order of unsigned ones.
     place = F.col("v") - F.lit(low) if narrow else F.col("v").bitwiseXOR(_SIGN)
-    left = rows.filter("v IS NOT NULL").select(*by, place.alias("_at"))
-    targets = None
+    left = rows.select(*by, place.alias("_at"))
+    targets = first = None
     for later in range(max(1, -(-(high - low).bit_length() // DIGIT) if narrow else 64 // DIGIT) - 1, -1, -1):
         shift = DIGIT * later
         digit = F.shiftrightunsigned("_at", shift).bitwiseAND((1 << DIGIT) - 1).alias("_digit")
         if targets is None:
             cells = _ordered(left.groupBy(*by, digit).agg(F.count(F.lit(1)).alias("_n")), by)
+            cells = cells.withColumn("_cells", F.filter("_cells", lambda c: c["digit"].isNotNull()))
             total = F.aggregate("_cells", F.lit(0).cast("long"), lambda a, c: a + c["n"])
             ends = F.posexplode(F.array(F.floor((total - 1) / 2), F.floor(total / 2))).alias("_end", "_rank")
             cells = cells.select(*by, "_cells", ends).withColumn("_prefix", F.lit(0).cast("long"))
@@ -64,10 +65,12 @@ def median_of_rows(rows: DataFrame, low: int | None, high: int | None, by: list[
         prefix = F.shiftleft("_prefix", DIGIT) + F.col("_found.digit")
         targets = found.select(*by, "_end", F.col("_found.rank").alias("_rank"), prefix.alias("_prefix"))
         targets = written(targets, "median-digits") if later else targets  # two rows a group
+        first = targets if first is None else first
     value = F.col("_prefix") + F.lit(low) if narrow else F.col("_prefix").bitwiseXOR(_SIGN)
     middle = targets.groupBy(*by).agg((F.sum(value.cast("decimal(20,0)")) / 2).cast("double").alias("median"))
     if not by:
         return middle
+    groups = first.filter("_end = 0").select(*by)
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
     return groups.join(middle.withColumnsRenamed({c: f"_{c}" for c in by}), reduce(Column.__and__, same), "left").select(*by, "median")
 
