@@ -69,6 +69,9 @@ class Encoder:
 
         After \\x01 the piece is one pre-token.
         """
+        if key.isalpha() and key.isascii():  # most misses
+            own = key if self.folds else _SYMBOLS[32] + key
+            return array(self.code, [t.id for t in self.model.tokenize(own)]).tobytes()
         if key.startswith("\x01"):
             return self._pre_token(key[1:])
         word = _WORD.match(key)

@@ -40,29 +40,39 @@ BLOCK_BYTES = 1 << 19
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + np.uint8(1)
 
 
-def encode_ranks(ranks: np.ndarray) -> bytes:
-    """Control bytes, then data bytes, of unsigned 32-bit ranks."""
-    width = max(1, -(-int(ranks.max(initial=0)).bit_length() // 8))
-    size = np.zeros(-(-len(ranks) // 4) * 4, dtype=np.uint8)  # data bytes less one
-    for k in range(1, width):
-        size[: len(ranks)] += ranks >> np.uint32(8 * k) > 0
-    control = size[0::4] | size[1::4] << 2 | size[2::4] << 4 | size[3::4] << 6
-    if width == 1:
-        return control.tobytes() + ranks.astype(np.uint8).tobytes()
-    raw = ranks.astype("<u2" if width == 2 else "<u4").view(np.uint8).reshape(len(ranks), -1)
-    return control.tobytes() + raw[np.arange(raw.shape[1], dtype=np.uint8) <= size[: len(ranks), None]].tobytes()
-
-
-def decode_ranks(payload: np.ndarray, n: int) -> np.ndarray:
-    """The ``n`` ranks of a stream of bytes."""
-    n_control = -(-n // 4)
-    size = _LENGTHS[payload[:n_control]].reshape(-1)[:n]
-    width = int(size.max(initial=1))
-    if width == 1:
-        return payload[n_control : n_control + n].astype(np.uint32)
-    out = np.zeros((n, 2 if width == 2 else 4), dtype=np.uint8)
-    out[np.arange(out.shape[1], dtype=np.uint8) < size[:, None]] = payload[n_control:]
-    return out.view("<u2" if width == 2 else "<u4").reshape(-1).astype(np.uint32)
+def encode_ranks(ranks: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+    """A stream (control bytes, then data bytes) for each of the lists of ranks that lie one behind the other."""
+    size = np.zeros(len(ranks), dtype=np.uint8)  # data bytes less one
+    for k in range(1, 4):
+        size += ranks >> np.uint32(8 * k) > 0
+    quads = -(-lengths // 4)
+    ends, control_ends = np.cumsum(lengths), np.cumsum(quads)
+    padded = np.zeros(4 * int(quads.sum()), dtype=np.uint8)
+    padded[np.arange(len(ranks)) + np.repeat(4 * (control_ends - quads) - (ends - lengths), lengths)] = size
+    control = (padded[0::4] | padded[1::4] << 2 | padded[2::4] << 4 | padded[3::4] << 6).tobytes()
+    raw = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
+    data = raw[np.arange(4, dtype=np.uint8) <= size[:, None]].tobytes()
+    data_ends = np.concatenate([[0], np.cumsum(size + np.int64(1))])[ends]
+    out, c0, d0 = [], 0, 0
+    for c1, d1 in zip(control_ends.tolist(), data_ends.tolist(), strict=True):
+        out.append(control[c0:c1] + data[d0:d1])
+        c0, d0 = c1, d1
+    return out
+
+
+def decode_ranks(payload: np.ndarray, sizes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The ranks of all streams (``sizes`` in bytes, ``lengths`` in ranks) that lie one behind the other."""
+    quads = -(-lengths // 4)
+    begins, control_begins = np.cumsum(sizes) - sizes, np.cumsum(quads) - quads
+    at = np.arange(int(quads.sum())) + np.repeat(begins - control_begins, quads)
+    length = _LENGTHS[payload[at]].reshape(-1)
+    ends = np.cumsum(lengths)
+    used = np.arange(int(lengths.sum())) + np.repeat(4 * control_begins - (ends - lengths), lengths)
+    is_data = np.ones(len(payload), dtype=bool)
+    is_data[at] = False
+    out = np.zeros((len(used), 4), dtype=np.uint8)
+    out[np.arange(4, dtype=np.uint8) < length[used][:, None]] = payload[is_data]
+    return out.view("<u4").reshape(-1)
 
 
 def _open(folder: str):
@@ -87,14 +97,21 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, ids binary")
 
 
+def _joined(ids: pa.Array, dtype: str) -> np.ndarray:
+    """The ids of all documents of a batch, one behind the other, without a copy."""
+    ends = np.frombuffer(ids.buffers()[1], dtype=np.int32)[ids.offset :][: len(ids) + 1]
+    return np.frombuffer(ids.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].view(dtype)
+
+
 def rank_table(ids: DataFrame, dtype: str) -> DataFrame:
     """(id, rank) by count over all documents; one row per task and id is shuffled, one per id is kept."""
 
     def tally(batches):
         counts = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for value in batch.column("ids"):
-                one = np.bincount(np.frombuffer(value.as_buffer(), dtype=dtype))
+            ids = batch.column("ids")
+            if len(ids):
+                one = np.bincount(_joined(ids, dtype))
                 if len(one) > len(counts):
                     one[: len(counts)] += counts
                     counts = one
@@ -144,15 +161,17 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int)
             return pa.RecordBatch.from_pylist([row], schema=_BLOCK_SCHEMA)
 
         for batch in batches:
-            for doc_id, n, ids in zip(batch.column("doc_id").to_pylist(), batch.column("n").to_pylist(), batch.column("ids"), strict=True):
-                coded = encode_ranks(table.value[np.frombuffer(ids.as_buffer(), dtype=dtype)])
+            for some in blocks(batch, "ids", BLOCK_BYTES):
+                lengths = some.column("n").to_numpy()
+                coded = encode_ranks(table.value[_joined(some.column("ids"), dtype)], lengths)
                 if sink is None:
                     place.create_dir(path, recursive=True)
                     sink = place.open_output_stream(f"{path}/{name}")
-                if held and size + len(coded) > BLOCK_BYTES:
-                    yield block()
-                held.append((doc_id, n, coded))
-                size += len(coded)
+                for doc_id, n, stream in zip(some.column("doc_id").to_pylist(), lengths.tolist(), coded, strict=True):
+                    if held and size + len(stream) > BLOCK_BYTES:
+                        yield block()
+                    held.append((doc_id, n, stream))
+                    size += len(stream)
         if held:
             yield block()
         if sink is not None:
@@ -200,15 +219,15 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
             for row in batch.to_pylist():
                 with place.open_input_file(f"{path}/{row['file']}") as file:
                     payload = np.frombuffer(file.read_at(row["size"], row["offset"]), dtype=np.uint8)
-                ends = np.cumsum(row["sizes"])
-                ids = [
-                    ids_of[decode_ranks(payload[b - size : b], n)].tobytes()
-                    for b, size, n in zip(ends.tolist(), row["sizes"], row["lengths"], strict=True)
-                ]
+                lengths = np.array(row["lengths"], dtype=np.int64)
+                ids = ids_of[decode_ranks(payload, np.array(row["sizes"], dtype=np.int64), lengths)]
+                streams = pa.Array.from_buffers(
+                    pa.large_binary(), len(lengths), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(4 * lengths)])), pa.py_buffer(ids)]
+                )
                 starts = np.cumsum(row["lengths"]) - row["lengths"] + begins[row["part"]] + row["before"]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row["doc_ids"], pa.int64()), pa.array(starts, pa.int64()), pa.array(row["lengths"], pa.int64()),
-                     pa.array(ids, pa.binary())],
+                     streams.cast(pa.binary())],
                     names=["doc_id", "start", "n_tokens", "ids"],
                 )
 

@@ -353,7 +353,13 @@ def test_stream_round_trip(top):
     rng = np.random.default_rng(3)
     for n in (0, 1, 3, 4, 5, 1003):
         ranks = rng.integers(0, top + 1, n, dtype=np.uint64).astype(np.uint32)
-        assert (token_output.decode_ranks(np.frombuffer(token_output.encode_ranks(ranks), np.uint8), n) == ranks).all()
+        cuts = np.sort(rng.integers(0, n + 1, 3))
+        lengths = np.diff(cuts, prepend=0, append=n)
+        streams = token_output.encode_ranks(ranks, lengths)
+        sizes = np.array([len(x) for x in streams])
+        assert (token_output.decode_ranks(np.frombuffer(b"".join(streams), np.uint8), sizes, lengths) == ranks).all()
+        for stream, part in zip(streams, np.split(ranks, cuts), strict=True):
+            assert (token_output.decode_ranks(np.frombuffer(stream, np.uint8), np.array([len(stream)]), np.array([len(part)])) == part).all()
 
 
 def test_token_output(odd, docs):
