@@ -70,7 +70,8 @@ SELECT 'TRX-' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRIN
             ELSE 'Approved' END AS transaction_status,
        CAST(l_linenumber AS STRING) AS response_code,
        CASE WHEN l_quantity > 45 THEN 'true' ELSE '' END AS is_fraud,
-       CASE WHEN l_quantity > 40 THEN CAST(l_tax AS STRING) ELSE NULL END AS fraud_score
+       CASE WHEN l_quantity > 40 THEN CAST(l_tax AS STRING) ELSE NULL END AS fraud_score,
+       CASE WHEN l_linenumber = 6 THEN '' ELSE 'BR-' || CAST(l_suppkey % 30 AS STRING) END AS branch_id
 FROM {src}""")
 
 DOMAIN["call_center_interactions"] = ("events", """
@@ -164,6 +165,27 @@ SELECT 'EVT-' || CAST(event_id AS STRING) AS event_id, CAST(ts AS STRING) AS eve
             WHEN 'click' THEN 'TRX_' || CAST(user_id AS STRING) || '-2' ELSE NULL END AS transaction_id
 FROM {src}""")
 
+DOMAIN["marketing_campaigns"] = ("part", """
+SELECT 'MKT-' || CAST(p_partkey AS STRING) AS campaign_id, p_name AS campaign_name,
+       CASE WHEN p_size < 10 THEN 'Email' WHEN p_size < 30 THEN 'SMS' ELSE '' END AS channel,
+       CAST(p_retailprice AS STRING) AS budget
+FROM {src}""")
+
+DOMAIN["campaign_sends"] = ("lineitem", """
+SELECT 'SND-' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS send_id,
+       CASE WHEN l_tax = 0.05 THEN NULL ELSE 'CLI-' || CAST(l_suppkey AS STRING) END AS customer_id,
+       CASE WHEN l_linenumber = 7 THEN ' ' WHEN l_discount = 0.05 THEN 'MKT-GHOST-' || CAST(l_linenumber AS STRING)
+            ELSE 'MKT-' || CAST(l_partkey AS STRING) END AS campaign_id,
+       CAST(CAST(l_shipdate AS DATE) AS STRING) AS send_date,
+       CASE WHEN l_returnflag = 'R' THEN 'true' ELSE 'false' END AS was_opened
+FROM {src}""")
+
+DOMAIN["daily_exchange_rates"] = ("orders", """
+SELECT CAST(CAST(o_orderdate AS DATE) AS STRING) AS rate_date,
+       CASE o_orderstatus WHEN 'O' THEN 'COP' WHEN 'F' THEN 'USD' ELSE 'ARS' END AS currency,
+       CAST(o_totalprice AS STRING) AS rate
+FROM {src}""")
+
 # Decision requests: one per order, wording by priority and status, sessions by status and price.
 DOMAIN["requests"] = ("orders", """
 SELECT 'CASE-' || CAST(o_orderkey AS STRING) AS case_id, 'CLI-' || CAST(o_custkey AS STRING) AS customer_id,

@@ -132,6 +132,24 @@ def test_approximate_distinct_is_near(spark):
     assert abs(rows["v"].distinct_values - 5000) < 5000 * 0.15
 
 
+def test_exact_distinct_of_integers_and_text(spark):
+    rows = [(k % 7 - 3, k * 100_003 - (1 << 40), None if k % 3 else f"v{k % 50}", k / 4) for k in range(2000)] + [(None, None, "", float("nan"))] * 3
+    df = spark.createDataFrame(rows, "a int, b bigint, c string, d double")
+    got = {r.column_name: r.distinct_values for r in P.distinct_counts(df).collect()}
+    assert got == {"a": 7, "b": 2000, "c": 51, "d": 2001}
+    assert {r.column_name: r.distinct_values for r in P.distinct_counts(df.limit(0).select("a", "c")).collect()} == {}
+
+
+def test_sketches_are_extended_without_rereading(spark):
+    day = lambda k: spark.range(k * 3000, k * 3000 + 6000).selectExpr(f"'d{k}' as day", "cast(id as string) as v", "cast(id % 9 as string) as w")
+    stored = P.distinct_sketches(day(0), ["v", "w"], [F.col("day")])
+    for k in (1, 2):
+        stored = stored.unionByName(P.distinct_sketches(day(k), ["v", "w"], [F.col("day")]))
+    assert stored.count() == 6
+    merged = {r.column_name: r.n for r in P.merged_sketches(stored, ["column_name"]).select("column_name", F.hll_sketch_estimate("sketch").alias("n")).collect()}
+    assert abs(merged["v"] - 12_000) <= 12_000 * 3 * P.SKETCH_ERROR and merged["w"] == 9
+
+
 def test_text_profile_matches_python(frame):
     texts = ["abc", "abc", " ", "", None, "longer text"]
     r = P.text_profile(frame("t", [(x,) for x in texts]), "d", ["t"]).first()
