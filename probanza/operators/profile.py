@@ -34,10 +34,17 @@ def columns_frame(spark: SparkSession, tables: dict[str, list[str]]) -> DataFram
     return spark.createDataFrame(rows, "dataset string, column_name string, position int")
 
 
-def describe(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
-    """(dataset, column_name, column_type) of every column."""
-    rows = [(t, c, kind) for t, df in tables.items() for c, kind in df.dtypes]
-    return spark.createDataFrame(rows, "dataset string, column_name string, column_type string")
+def observed_columns(tables: dict[str, DataFrame]) -> DataFrame:
+    """(dataset, column_name, position, column_type, filled_rows) of every column, with one aggregate over each table's rows."""
+    parts = []
+    for t, df in tables.items():
+        filled = df.agg(*(F.count(F.col(f"`{c}`")).alias(f"_{i}") for i, c in enumerate(df.columns)))
+        cells = [
+            F.struct(F.lit(c).alias("column_name"), F.lit(i + 1).alias("position"), F.lit(kind).alias("column_type"), F.col(f"_{i}").alias("filled_rows"))
+            for i, (c, kind) in enumerate(df.dtypes)
+        ]
+        parts.append(filled.select(F.lit(t).alias("dataset"), F.inline(F.array(*cells))))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def pii_columns(columns: DataFrame) -> DataFrame:

@@ -271,39 +271,59 @@ def input_fingerprint(spark, sf):
 
 @register(
     "s16_content_hashes",
-    with_tables(_CALLS) + f"SELECT '{_CALLS}' AS dataset, count(DISTINCT {_CALL_DAY}) AS days, true AS all_hashed, true AS all_different FROM {_CALLS}",
+    with_tables(_CALLS, "customers", "products")
+    + f"""SELECT '{_CALLS}' AS dataset, count(DISTINCT {_CALL_DAY}) AS days, true AS all_hashed, true AS all_different FROM {_CALLS}
+    UNION ALL SELECT 'customers', 0, count(*) > 0, count(*) > 0 FROM customers UNION ALL SELECT 'products', 0, count(*) > 0, count(*) > 0 FROM products""",
 )
 def content_hashes(spark, sf):
-    root = csv_tree(spark, sf)
-    hashed = L.content_hashes(spark, f"{root}/{_CALLS}")
-    return hashed.agg(
+    """Every file of the tree."""
+    hashed = L.content_hashes(spark, csv_tree(spark, sf))
+    return hashed.groupBy(F.split_part("relative_path", F.lit("/"), F.lit(1)).alias("dataset")).agg(
         F.count_distinct(C.partition_date("relative_path")).alias("days"),
         (F.min(F.length("sha256")) == 64).alias("all_hashed"),
         (F.count_distinct("sha256") == F.count(F.lit(1))).alias("all_different"),
-    ).select(F.lit(_CALLS).alias("dataset"), "*")
+    )
+
+
+def _filled_sql(t: str) -> str:
+    """Columns of a table with their types and how many rows fill them."""
+    return f"""SELECT '{t}' AS dataset, column_name, column_type, filled_rows FROM (DESCRIBE SELECT * FROM {t})
+      JOIN (SELECT column_name, count(v) AS filled_rows FROM (SELECT COLUMNS(*)::VARCHAR FROM {t}) UNPIVOT INCLUDE NULLS (v FOR column_name IN (COLUMNS(*))) GROUP BY 1) USING (column_name)"""
 
 
 @register(
     "s17_schema_hashes",
     "\nUNION ALL\n".join(
-        f"SELECT '{t}' AS dataset, sha256(string_agg(column_name, '|')) AS schema_sha256 FROM (DESCRIBE SELECT * FROM {t})" for t in DRIVER_TABLES
+        f"SELECT '{t}' AS dataset, sha256(string_agg(column_name, '|' ORDER BY place)) AS schema_sha256, CAST(sum(filled_rows) AS BIGINT) AS filled_cells "
+        f"FROM ({_filled_sql(t)}) JOIN (SELECT column_name, row_number() OVER () AS place FROM (DESCRIBE SELECT * FROM {t})) USING (column_name) WHERE filled_rows > 0"
+        for t in DRIVER_TABLES
     ),
 )
 def schema_hashes(spark, sf):
-    return P.schema_hashes(P.columns_frame(spark, {t: driver_table(spark, sf, t).columns for t in DRIVER_TABLES}))
+    """Hashes over the columns that any row fills."""
+    filled = P.observed_columns({t: driver_table(spark, sf, t) for t in DRIVER_TABLES}).filter("filled_rows > 0")
+    cells = filled.groupBy("dataset").agg(F.sum("filled_rows").alias("filled_cells"))
+    return P.schema_hashes(filled).join(cells, "dataset")
 
 
 @register(
     "s18_artifact_manifest",
-    "SELECT unnest(['nations', 'regions']) AS artifact, true AS has_bytes, (SELECT count(*) FROM nation) > 0 AS from_rows",
+    "SELECT 'nations' AS artifact, true AS has_bytes, count(*) AS rows, CAST(sum(n_nationkey) AS BIGINT) AS keys FROM nation UNION ALL SELECT 'regions', true, count(*), CAST(sum(r_regionkey) AS BIGINT) FROM region",
 )
 def artifact_manifest(spark, sf):
+    """The artifacts' sizes from the listing, their rows from what was written."""
+
     def write(root: str) -> None:
         sinks.write_csv(driver_table(spark, sf, "nation"), f"{root}/nations")
         sinks.write_csv(driver_table(spark, sf, "region"), f"{root}/regions")
 
-    listed = L.artifact_manifest(spark, _once(spark, sf, "artifacts", write))
-    return listed.groupBy("artifact").agg((F.sum("bytes") > 0).alias("has_bytes"), F.lit(True).alias("from_rows"))
+    root = _once(spark, sf, "artifacts", write)
+    sizes = L.artifact_manifest(spark, root).groupBy("artifact").agg((F.sum("bytes") > 0).alias("has_bytes"))
+    held = union(
+        S.read_dataset(spark, root, name).select(F.lit(name).alias("artifact"), F.col(key).cast("bigint").alias("key"))
+        for name, key in (("nations", "n_nationkey"), ("regions", "r_regionkey"))
+    )
+    return sizes.join(held.groupBy("artifact").agg(F.count(F.lit(1)).alias("rows"), F.sum("key").alias("keys")), "artifact")
 
 
 @register(
@@ -328,7 +348,7 @@ def prefix_sample(spark, sf):
     header = table(spark, sf, _CALLS).columns
     schema = ", ".join(f"`{c}` string" for c in [*header, *S.PARTITION_COLUMNS])
     folder = f"{csv_tree(spark, sf)}/{_CALLS}"
-    rows = spark.read.schema(schema).option("header", True).option("basePath", folder).csv(folder)
+    rows = spark.read.schema(schema).options(**S.RFC_4180).option("basePath", folder).csv(folder)
     sample = S.prefix_sample(S.with_position(rows), 40)
     per_file = sample.groupBy("_file", C.partition_date("_file").alias("partition_date")).agg(F.count(F.lit(1)).alias("n"))
     return per_file.groupBy("partition_date").agg(F.max("n").alias("first_file_rows"))
@@ -339,12 +359,10 @@ _TYPES = {
 }
 
 
-@register(
-    "s21_describe",
-    "\nUNION ALL\n".join(f"SELECT '{t}' AS dataset, column_name, column_type FROM (DESCRIBE SELECT * FROM {t})" for t in DRIVER_TABLES),
-)
+@register("s21_describe", "\nUNION ALL\n".join(_filled_sql(t) for t in DRIVER_TABLES))
 def describe(spark, sf):
-    found = P.describe(spark, {t: driver_table(spark, sf, t) for t in DRIVER_TABLES})
+    """Columns with their types and the rows that fill them."""
+    found = P.observed_columns({t: driver_table(spark, sf, t) for t in DRIVER_TABLES}).drop("position")
     names = F.create_map(*(F.lit(x) for pair in _TYPES.items() for x in pair))
     return found.withColumn("column_type", F.coalesce(names[F.col("column_type")], F.col("column_type")))
 
