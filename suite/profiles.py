@@ -339,7 +339,7 @@ def exact_duplicate_rows(spark, sf):
     + "\nUNION ALL\n".join(
         f"SELECT '{t}' AS dataset, '{c}' AS column_name, count(*) - count(DISTINCT trim({c})) AS id_repeat_occurrences FROM {t} WHERE {ne(c)}"
         for t, cs in _PROFILED.items()
-        for c in cs
+        for c in (*cs, *(("branch_id",) if t == "transactions" else ()))
         if c.endswith("_id")
     ),
 )
