@@ -220,15 +220,55 @@ def test_notices_of_unlisted_licences_are_unknown(spark, docs):
     assert got == {(0, 1): ("unknown", False), (1, 1): ("unknown", False), (2, 1): ("unknown", False), (3, 1): ("mit", True)}
 
 
-@pytest.mark.parametrize("weights", [[1, 1], [5, 3, 2], [0.37, 0.21, 0.4, 0.02], [1] * 40])
-def test_schedule_deviates_less_than_a_block(weights):
-    slots = mixing.slots_per_frame(weights, 1000)
-    seen = [0] * len(slots)
-    for t, (source, block) in enumerate(mixing.schedule(slots), start=1):
+def _schedule(spark, weights, length, frame):
+    """(source, block) by slot for ``length`` slots in which no source ends."""
+    names = [f"={i:04}" for i in range(len(weights))]
+    blocks = [int(w / sum(weights) * length) + 2 for w in weights]
+    plan = mixing.epochs(names, mixing.units(weights, sum(blocks)), blocks, frame)
+    rows = mixing.scheduled(spark, plan, frame).collect()
+    assert sorted((r["s2"], r["k2"]) for r in rows) == [(n, k) for n, b in zip(names, blocks, strict=True) for k in range(b)]
+    assert len({r["slot"] for r in rows}) == len(rows)
+    return [(names.index(r["s2"]), r["k2"]) for r in sorted(rows, key=lambda r: r["slot"])][:length]
+
+
+@pytest.mark.parametrize(
+    ("weights", "frames", "frame"),
+    [
+        ([1, 1], 5, 64), ([5, 3, 2], 20, 64), ([0.37, 0.21, 0.4, 0.02], 100, 64), ([1] * 40, 8, 64), ([0.9, *[0.001] * 100], 30, 64),
+        ([2**0.5, 3**0.5, 5**0.5, 0.01, 1e-7], 100, 32), ([0.5, *[0.5 / 899] * 899], 4, 1024),
+    ],
+)
+def test_schedule_deviates_less_than_a_block(spark, weights, frames, frame):
+    """Against the given weights, over many frames and many sources."""
+    got, whole = _schedule(spark, weights, frames * frame, frame), sum(weights)
+    share, seen = np.array(weights) / whole, np.zeros(len(weights), dtype=np.int64)
+    for t, (source, block) in enumerate(got, start=1):
         assert block == seen[source]
         seen[source] += 1
-        assert all(abs(n - a * t / sum(slots)) < 1 for n, a in zip(seen, slots, strict=True))
-    assert seen == slots
+        assert np.abs(seen - share * t).max() < 1 + 1e-9, t  # the plain product in double precision
+
+
+def test_two_thousand_sources(spark):
+    weights = [0.5, *[0.5 / 1999] * 1999]
+    seen = np.bincount([s for s, _ in _schedule(spark, weights, 2000, 1024)], minlength=2000)
+    assert np.abs(seen - np.array(weights) * 2000).max() < 1
+
+
+def test_frames_end_where_a_plain_schedule_can_follow():
+    """The counts at the end of every frame leave all windows of both neighbours open, for random weights."""
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        a = [int(x) for x in rng.integers(1, 10 ** int(rng.integers(1, 7)), size=int(rng.integers(2, 30)))]
+        whole, frame, low = sum(a), 32, [0] * len(a)
+        for f in range(12):
+            high = mixing.had_by(a, (f + 1) * frame, frame)
+            todo = {(i, k) for i in range(len(a)) for k in range(low[i], high[i])}
+            assert len(todo) == frame
+            for t in range(f * frame, (f + 1) * frame):
+                due, i, k = min((-(-(k + 1) * whole // a[i]), i, k) for i, k in todo if k * whole // a[i] <= t)
+                assert t < due
+                todo.remove((i, k))
+            low = high
 
 
 def test_mixing(spark, odd, docs):
