@@ -53,7 +53,7 @@ _PLAN = "array<struct<start:long,length:long,unit:long,src:array<struct<s:string
 def units(weights: list[float], blocks: int) -> list[int]:
     """Weights as whole numbers whose products with any number of slots of ``blocks`` blocks fit a long.
 
-    Weights that are short decimals keep their exact ratios; others are rounded to at most 2^-bits of the whole.
+    Weights that are short decimals keep their exact ratios; others are moved by less than 2^-bits of the whole.
     """
     bits = 61 - (2 * blocks + 2 * len(weights)).bit_length()
     exact = [Fraction(repr(w)) for w in weights]
@@ -61,8 +61,13 @@ def units(weights: list[float], blocks: int) -> list[int]:
     whole = [int(e * scale) for e in exact]
     if sum(whole) >> bits == 0:
         return whole
-    total = sum(exact)
-    return [max(1, round(e / total * (1 << bits))) for e in exact]
+    total = sum(whole)
+    parts = [divmod(e << bits, total) for e in whole]
+    out = [max(1, quotient) for quotient, _ in parts]
+    short = max(0, (1 << bits) - sum(out))  # given to the largest remainders, so the whole is a power of two
+    for i in sorted(range(len(out)), key=lambda i: -parts[i][1])[:short]:
+        out[i] += 1
+    return out
 
 
 def had_by(units_: list[int], end: int, frame: int) -> list[int]:
