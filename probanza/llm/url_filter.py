@@ -4,34 +4,46 @@ A rule is a host and a path prefix; it fits its host and all subdomains where th
 begins with the rule's, and the longest rule decides. URLs that a rule decides teach two smoothed
 variable-order Markov models, one of allowed and one of blocked URLs: after each context of up to
 ``ORDER`` bytes the next byte's probability is its count mixed with the estimate of the next
-shorter context. Counts sit in hashed tables of a fixed size, summed over all URLs, one compressed
-table per task. The score of a URL is the difference of its log-likelihoods per byte; a logistic
-curve fitted to the scores of the URLs of a fold that the models never saw turns it into a
-probability of being allowed, and URLs without a rule are allowed from a half on.
+shorter context.
+
+The counts are exact, whatever the input holds: a byte with its ``ORDER`` predecessors (or the
+begin of the URL) is one integer of 9 bits a symbol, and a table holds each integer that occurs in
+any URL with its counts in both models, aggregated in the tasks first. Shorter contexts are sums
+of that table. The table of a level joins the one below it on its last symbols and its contexts',
+so a key meets at most 257 rows. The last level gives each integer the difference of both
+log-likelihoods, in units of 2^-32, and a URL's score is their sum over its bytes, divided by
+their number: distinct URLs (by a hash of 128 bits) are scored once, by a join on the integer that
+is broadcast below a checked size only. A logistic curve fitted to the scores of the URLs of a
+fold that the models never saw turns the score into a probability of being allowed, and URLs
+without a rule are allowed from a half on.
 
 A null or empty url, or one without ``://``, has an empty host and path and no rule; its verdict is
-the method's (a null is scored as an empty text, whose score is 0). Where rules decide no URL the
-models are empty and everything else is allowed. Repeated rows and null ids stay; other columns
-are not read; an empty table gives no rows.
+the method's (a null or an empty url scores 0). Where rules decide no URL the models are empty and
+everything else is allowed. Repeated rows and null ids stay; other columns are not read; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
-import zlib
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from probanza.llm.texts import blocks, checked_broadcast, stored
+from probanza.operators.joins import lookup_join
+
 ORDER = 5
-CELLS = 1 << 17
+#: Bits of a symbol: 0 before the begin of a URL, else a byte and one.
+SYMBOL = 9
 #: Weight of the shorter context's estimate, in counts.
 BACKOFF = 4.0
 #: The share of the ruled URLs kept for calibration, as a remainder of four of crc32(url).
 FOLD = 3
-_MULTIPLIER = 0x9E3779B97F4A7C15
+#: Scores are summed as whole numbers of this unit, so their sums do not depend on the order of rows.
+UNIT = 1 << 32
+#: Bytes of URLs that are turned into grams at a time.
+GRAM_BYTES = 250_000
 
 Rule = tuple[str, str, str]  # verdict, host, path
 
@@ -60,88 +72,74 @@ def ruled(host: Column, path: Column, rules: list[Rule]) -> Column:
     return found
 
 
-def _contexts(urls: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each byte of all URLs: the cells of its contexts (order x bytes), of context and byte, and its URL."""
-    raw = [(u or "").encode("utf-8", "surrogatepass") for u in urls]
-    joined = np.frombuffer(b"".join(b"\0" * ORDER + r for r in raw), dtype=np.uint8)
-    owner = np.repeat(np.arange(len(raw)), [len(r) + ORDER for r in raw])
-    starts = np.cumsum([0, *(len(r) + ORDER for r in raw)])[:-1]
+def _grams(urls: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of all URLs: it and its predecessors as one integer, and its URL's row."""
+    raw = [(u or "").encode("utf-8", "surrogatepass") for u in urls.to_pylist()]
+    sizes = np.array([len(r) + ORDER for r in raw], dtype=np.int64)
+    joined = np.frombuffer(b"".join(b"\0" * ORDER + r for r in raw), dtype=np.uint8).astype(np.int64) + 1
+    starts = np.cumsum(sizes) - sizes
     real = np.ones(len(joined), dtype=bool)
     for j in range(ORDER):
         real[starts + j] = False
+    joined[~real] = 0
     at = np.flatnonzero(real)
-    code = np.full(len(at), 1, dtype=np.uint64)
-    before, both = [], []
-    for k in range(ORDER + 1):
-        mixed = (code ^ np.uint64(k)) * np.uint64(_MULTIPLIER)
-        before.append(mixed >> np.uint64(47))
-        pair = (mixed ^ (joined[at].astype(np.uint64) + np.uint64(1))) * np.uint64(_MULTIPLIER)
-        both.append((pair ^ pair >> np.uint64(29)) * np.uint64(_MULTIPLIER) >> np.uint64(47))
-        if k < ORDER:
-            code = (code ^ (joined[at - 1 - k].astype(np.uint64) + np.uint64(7))) * np.uint64(_MULTIPLIER)
-            code ^= code >> np.uint64(32)
-    return np.array(before).astype(np.int64), np.array(both).astype(np.int64), owner[at]
-
-
-@dataclass
-class Ratio:
-    """Two Markov models as counts of contexts and of contexts with a byte, and the calibration."""
-
-    before: np.ndarray  # 2 x CELLS
-    both: np.ndarray
-    slope: float = 1.0
-    offset: float = 0.0
-
-    def scores(self, urls: list[str | None]) -> np.ndarray:
-        """Log-likelihood as an allowed URL less that as a blocked one, per byte."""
-        before, both, owner = _contexts(urls)
-        total = np.zeros(len(owner))
-        for model, sign in ((0, 1.0), (1, -1.0)):
-            p = np.full(len(owner), 1 / 256)
-            for k in range(ORDER + 1):
-                seen = np.minimum(self.both[model][both[k]], self.before[model][before[k]])
-                p = (seen + BACKOFF * p) / (self.before[model][before[k]] + BACKOFF)
-            total += sign * np.log(p)
-        sums = np.bincount(owner, weights=total, minlength=len(urls))
-        return sums / np.maximum(1, np.bincount(owner, minlength=len(urls)))
-
-    def allowed(self, scores: np.ndarray) -> np.ndarray:
-        """The calibrated probability that a URL of this score is allowed."""
-        return 1 / (1 + np.exp(-np.clip(self.slope * scores + self.offset, -50, 50)))
-
-
-_TABLE = "part long, counts binary"
-
-
-def _counts(rows: DataFrame) -> np.ndarray:
-    """Counts (model, kind, cell) over all rows (url, allowed): one table per task, merged in two levels."""
+    grams = np.zeros(len(at), dtype=np.int64)
+    for j in range(ORDER + 1):
+        grams |= joined[at - j] << (SYMBOL * j)
+    return grams, np.repeat(np.arange(len(raw)), sizes)[at]
 
-    def count(batches):
-        from pyspark import TaskContext
 
-        table = np.zeros((2, 2, CELLS), dtype=np.int64)
+def gram_counts(urls: DataFrame) -> DataFrame:
+    """(g, good, bad) of every gram of all rows (url, label): rows of label 1 and 0 count as good and bad, others not."""
+
+    def count(batches):
         for batch in batches:
-            urls, good = batch.column("url").to_pylist(), batch.column("allowed").to_pylist()
-            for model in (0, 1):
-                before, both, _ = _contexts([u for u, g in zip(urls, good, strict=True) if g == (model == 0)])
-                table[model, 0] += np.bincount(before.ravel(), minlength=CELLS)
-                table[model, 1] += np.bincount(both.ravel(), minlength=CELLS)
-        packed = zlib.compress(table.tobytes(), 1)
-        yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "counts": [packed]})
-
-    def merge(batches):
-        table, part = np.zeros((2, 2, CELLS), dtype=np.int64), 0
+            for block in blocks(batch, "url", GRAM_BYTES):
+                grams, owner = _grams(block.column("url"))
+                label = block.column("label").to_numpy(zero_copy_only=False)[owner]
+                found, where = np.unique(grams, return_inverse=True)
+                sums = [np.bincount(where, weights=label == v, minlength=len(found)).astype(np.int64) for v in (1, 0)]
+                yield pa.RecordBatch.from_arrays([pa.array(found), *map(pa.array, sums)], names=["g", "good", "bad"])
+
+    rows = urls.select("url", "label").mapInArrow(count, "g long, good long, bad long")
+    return rows.groupBy("g").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+
+
+def gram_ratios(counts: DataFrame) -> DataFrame:
+    """(g, ratio): log-likelihood of the last byte in the model of good URLs less that in the other, in units."""
+    sums = [F.sum("good").alias("good"), F.sum("bad").alias("bad")]
+    levels = [counts]
+    for k in range(ORDER - 1, -1, -1):
+        levels.insert(0, levels[0].groupBy(F.col("g").bitwiseAND((1 << SYMBOL * (k + 1)) - 1).alias("g")).agg(*sums))
+    shorter = None
+    for k, level in enumerate(levels):
+        context = level.groupBy(F.shiftright("g", SYMBOL).alias("context")).agg(F.sum("good").alias("n_good"), F.sum("bad").alias("n_bad"))
+        known = level.withColumn("context", F.shiftright("g", SYMBOL)).join(context, "context")
+        if shorter is None:
+            known = known.withColumns({"p_good": F.lit(1 / 256), "p_bad": F.lit(1 / 256)})
+        else:
+            known = known.withColumn("last", F.col("g").bitwiseAND((1 << SYMBOL * k) - 1)).join(shorter, "last")
+        shorter = known.select(
+            F.col("g").alias("last"),
+            *[((F.col(m) + BACKOFF * F.col(f"p_{m}")) / (F.col(f"n_{m}") + BACKOFF)).alias(f"p_{m}") for m in ("good", "bad")],
+        )
+    return shorter.select(F.col("last").alias("g"), F.round((F.log("p_good") - F.log("p_bad")) * UNIT).cast("long").alias("ratio"))
+
+
+def url_scores(urls: DataFrame, ratios: DataFrame) -> DataFrame:
+    """(h1, h2, score) of every distinct URL that has a byte; ``urls`` has h1, h2 and url."""
+
+    def spread(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                part = row["part"]
-                table += np.frombuffer(zlib.decompress(row["counts"]), dtype=np.int64).reshape(table.shape)
-        yield pa.RecordBatch.from_pydict({"part": [part], "counts": [zlib.compress(table.tobytes(), 1)]})
+            for block in blocks(batch, "url", GRAM_BYTES):
+                grams, owner = _grams(block.column("url"))
+                keys = [block.column(h).take(pa.array(owner)) for h in ("h1", "h2")]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(grams)], names=["h1", "h2", "g"])
 
-    few = rows.mapInArrow(count, _TABLE).repartition(16, F.pmod("part", F.lit(16))).mapInArrow(merge, _TABLE)
-    table = np.zeros((2, 2, CELLS), dtype=np.int64)
-    for row in few.repartition(1).mapInArrow(merge, _TABLE).collect():  # one table of fixed size
-        table += np.frombuffer(zlib.decompress(row["counts"]), dtype=np.int64).reshape(table.shape)
-    return table
+    once = urls.groupBy("h1", "h2").agg(F.first("url").alias("url"))
+    found = once.mapInArrow(spread, "h1 long, h2 long, g long").join(checked_broadcast(ratios), "g")
+    mean = F.sum("ratio") / F.count(F.lit(1)) / UNIT
+    return found.groupBy("h1", "h2").agg(mean.alias("score"))
 
 
 def _logistic(score: np.ndarray, good: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -159,30 +157,15 @@ def _logistic(score: np.ndarray, good: np.ndarray, weight: np.ndarray) -> tuple[
     return float(beta[0]), float(beta[1])
 
 
-def _scored(rows: DataFrame, model: Ratio, kind: str) -> DataFrame:
-    """``key`` columns of the rows with the score of their url."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        for batch in batches:
-            scores = shared.value.scores(batch.column("url").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(scores, pa.float64())], names=["key", "score"])
-
-    return rows.select("key", "url").mapInArrow(run, f"key {kind}, score double")
-
-
-def learn(urls: DataFrame) -> Ratio:
-    """Both models and the calibration from (url, allowed)."""
-    urls = urls.select("url", "allowed", (F.crc32(F.col("url").cast("binary")) % 4 == FOLD).alias("fold"))
-    table = _counts(urls.filter(~F.col("fold")).select("url", "allowed"))
-    model = Ratio(table[:, 0].astype(np.float64), table[:, 1].astype(np.float64))
-    held = urls.filter("fold").select(F.col("allowed").alias("key"), "url")
-    bins = _scored(held, model, "boolean").groupBy("key", F.round("score", 2).alias("score")).count().collect()
-    if bins:  # at most the bins of a bounded score, for two classes
-        model.slope, model.offset = _logistic(
-            np.array([r["score"] for r in bins]), np.array([r["key"] for r in bins]), np.array([float(r["count"]) for r in bins])
-        )
-    return model
+def calibrated(scored: DataFrame) -> tuple[float, float]:
+    """Slope and offset of the logistic curve, from (allowed, score) of the held-out fold."""
+    bins = scored.groupBy("allowed", F.round("score", 2).alias("score")).count().collect()
+    if not bins:
+        return 1.0, 0.0
+    # At most the bins of a bounded score, for two classes.
+    return _logistic(
+        np.array([r["score"] for r in bins]), np.array([r["allowed"] for r in bins]), np.array([float(r["count"]) for r in bins])
+    )
 
 
 def url_filter(pages: DataFrame, rules: dict[str, str]) -> DataFrame:
@@ -190,15 +173,21 @@ def url_filter(pages: DataFrame, rules: dict[str, str]) -> DataFrame:
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", F.col("url").cast("string").alias("url")).withColumns({"host": host, "path": path})
     rows = rows.withColumn("found", ruled(F.col("host"), F.col("path"), parse_rules(rules)))
-    known = rows.filter("found IS NOT NULL").select("url", (F.col("found.verdict") == "allow").alias("allowed"))
-    model = learn(known)
-    key = F.struct("page_id", "host", "path", F.col("found.rule").alias("rule"), F.col("found.verdict").alias("verdict"))
-    keyed = rows.select(key.alias("key"), "url")
-    scored = _scored(keyed, model, keyed.schema["key"].dataType.simpleString())
-    margin = F.lit(model.slope) * F.col("score") + F.lit(model.offset)
-    chance = 1 / (1 + F.exp(-margin))
+    rows = rows.withColumn("fold", F.crc32(F.col("url").cast("binary")) % 4 == FOLD)
+    some = F.length("url") > 0
+    hashes = [F.when(some, F.xxhash64(F.lit(seed), F.col("url"))).alias(h) for h, seed in (("h1", 1), ("h2", 2))]
+    rows = rows.select("*", *hashes)
+
+    label = F.when(F.col("found").isNull() | F.col("fold"), -1).otherwise((F.col("found.verdict") == "allow").cast("int")).cast("int")
+    counts = stored(gram_counts(rows.filter(some).select("url", label.alias("label"))), "url-grams")
+    ratios = stored(gram_ratios(counts), "url-ratios")
+    scores = stored(url_scores(rows.filter(some).select("h1", "h2", "url"), ratios), "url-scores")
+
+    keyed = rows.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.col("found.verdict").alias("given"), "fold", "h1", "h2")
+    scored = lookup_join(keyed, scores, ["h1", "h2"]).withColumn("score", F.coalesce("score", F.lit(0.0)))
+    slope, offset = calibrated(scored.filter("fold AND given IS NOT NULL").select((F.col("given") == "allow").alias("allowed"), "score"))
+    chance = 1 / (1 + F.exp(-(F.lit(slope) * F.col("score") + F.lit(offset))))
     own = F.when(chance >= 0.5, "allow").otherwise("block")
     return scored.select(
-        "key.page_id", "key.host", "key.path", "key.rule", F.coalesce("key.verdict", own).alias("verdict"), "score",
-        chance.alias("allowed_probability"),
+        "page_id", "host", "path", "rule", F.coalesce("given", own).alias("verdict"), "score", chance.alias("allowed_probability")
     )

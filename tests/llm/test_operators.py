@@ -134,6 +134,44 @@ def test_url_filter(spark):
     assert empty.count() == 0
 
 
+def test_url_models_equal_plain_dictionaries(spark):
+    """Scores of varied, repeated, long and odd URLs, and the verdicts that follow from them."""
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz0123456789-_/é"))
+    urls = ["http://" + "".join(rng.choice(letters, 12)) + f".{rng.choice(['com', 'net', 'org'])}/{rng.choice(['en', 'es', 'fr'])}/" + "".join(rng.choice(letters, 9)) for _ in range(3000)]
+    urls += [urls[7]] * 700 + [None, "", "\0", "a", "http://x.org/" + "ab/" * 20_000]
+    rows = [(i, u, "h", "p", 0.5, 1) for i, u in enumerate(urls)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, path string, score double, h1 long").repartition(5)
+    got = {r["page_id"]: r for r in url_filter.url_filter(pages, URL_RULES).collect()}
+    assert len(got) == len(urls)
+    models = {"allow": [{} for _ in range(6)], "block": [{} for _ in range(6)]}
+
+    def grams(url):
+        symbols = (*[None] * 5, *url.encode())
+        return [[symbols[j - k : j + 1] for k in range(6)] for j in range(5, len(symbols))]
+
+    for u in urls:
+        rule = _plain_url(u)[2]
+        if rule and zlib.crc32(u.encode()) % 4 != url_filter.FOLD:
+            for gram in grams(u):
+                for k, g in enumerate(gram):
+                    own = models[URL_RULES[rule]][k].setdefault(g[:-1], {})
+                    own[g[-1]] = own.get(g[-1], 0) + 1
+    totals = {name: [{c: sum(own.values()) for c, own in level.items()} for level in model] for name, model in models.items()}
+    for i in [*range(0, 3000, 50), *range(3695, len(urls))]:
+        total, all_grams = 0.0, grams(urls[i] or "")
+        for gram in all_grams:
+            for name, sign in (("allow", 1), ("block", -1)):
+                p = 1 / 256
+                for k, g in enumerate(gram):
+                    seen = models[name][k].get(g[:-1], {})
+                    p = (seen.get(g[-1], 0) + 4 * p) / (totals[name][k].get(g[:-1], 0) + 4)
+                total += sign * np.log(p)
+        assert abs(got[i]["score"] - total / max(1, len(all_grams))) < 1e-8, urls[i]
+        want = URL_RULES.get(_plain_url(urls[i])[2]) or ("allow" if got[i]["allowed_probability"] >= 0.5 else "block")
+        assert got[i]["verdict"] == want
+
+
 def test_url_models_on_the_fold_they_never_saw(spark):
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
     fold = {r["page_id"] for r in pages.collect() if zlib.crc32(r["url"].encode()) % 4 == url_filter.FOLD}
