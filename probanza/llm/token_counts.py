@@ -8,6 +8,12 @@ lengths from the table, and encodes what is not in it through the worker's bound
 pre-tokens of up to ``LONGEST`` characters enter summaries, table and cache; longer ones are encoded
 where they occur. The table changes the speed only, never a count.
 
+A text with characters beyond ASCII and Latin letters is first cut where a character that is surely
+no white space meets a space or line feed; no pre-token crosses such a place. Its Latin parts are
+split as above, and each other part (a word with its marks and the space before it) is looked up,
+cached and encoded as it is, so all scripts that write spaces go through the table. Only a text
+that spells a special token goes to the library whole.
+
 Null text counts as empty (0 bytes, 0 tokens). Rows are kept as they are: repeated rows and null
 ids give a row each. Other columns of the input are ignored. An empty table gives no rows.
 """
@@ -30,10 +36,14 @@ from probanza.llm.texts import Cache, blocks
 
 #: Most entries of the broadcast table; about 20 bytes each.
 HOT_SIZE = 1 << 15
-#: Characters (of at most two bytes) of the longest pre-token that summaries, table and cache hold.
+#: Characters (of at most four bytes) of the longest pre-token that summaries, table and cache hold.
 LONGEST = 64
-#: Texts with other characters go to the library whole, so that classes of characters never differ.
+#: Parts with other characters are encoded by the library, so that classes of characters never differ.
 _NOT_LATIN = re.compile("[^\x09-\x0d\x20-\x7eÀ-ɏ]")
+#: Between a character that no version of Unicode counts as white space, and a space or line feed.
+_CUT = re.compile(
+    "(?<=[^\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff])(?=[ \n])"
+)
 
 
 class PieceCounter:
@@ -46,16 +56,18 @@ class PieceCounter:
         self.lengths = Cache(self.length, frequent)
 
     def length(self, piece: str) -> int:
-        return len(pre_token_ids(self.tokenizer, piece))
+        return self.encoded(piece) if _NOT_LATIN.search(piece) else len(pre_token_ids(self.tokenizer, piece))
 
     def encoded(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def pieces(self, text: str) -> list[str] | None:
         """The pre-tokens of a text, or None where it must go to the library whole."""
-        if any(s in text for s in self.special) or _NOT_LATIN.search(text):
+        if any(s in text for s in self.special):
             return None
-        return self.split(text)
+        if not _NOT_LATIN.search(text):
+            return self.split(text)
+        return [p for part in _CUT.split(text) for p in ([part] if _NOT_LATIN.search(part) else self.split(part))]
 
     def count(self, text: str | None) -> int:
         if not text:
@@ -120,8 +132,7 @@ def token_counts(
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     frequent = frequent_pieces(docs, tokenizer_path, pattern, hot_size)
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    lengths = [len(pre_token_ids(tokenizer, p)) for p in frequent]
+    lengths = list(map(PieceCounter(tokenizer_path, pattern, {}).length, frequent))
     table = spark.sparkContext.broadcast((frequent, np.array(lengths, dtype=np.int64)))
 
     def run(batches):
