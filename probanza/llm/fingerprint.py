@@ -3,12 +3,13 @@
 Of all runs of ``K`` words a text keeps those whose smallest run of ``S`` words (by hash) is the
 first or the last within them. Whether a run is kept depends on its own words only, so shared
 passages give the same anchors in any surroundings. A fingerprint holds all anchors of the text,
-each with the word position of its first occurrence, in text order.
+every occurrence with its word position, in text order; an anchor is a 64-bit hash.
 
-The likeness of two fingerprints compares all anchors of both: the shared ones count where they
-keep their order from one to the next in both texts, and their share is given as twice the shared
-part over the sum of both (0: nothing in common, 1: equal). Both lists are sorted together by hash,
-so the work grows with their length, not with its square.
+The likeness of two fingerprints compares all anchors of both, the n-th occurrence in one text with
+the n-th in the other: the shared ones count where they keep their order from one to the next in
+both texts, and their share is given as twice the shared part over the sum of both (0: nothing in
+common, 1: equal). Both lists are sorted together by hash, so the work grows with their length, not
+with its square.
 
 A text shorter than ``K`` words has one anchor, the hash of the whole text at position 0; null is
 an empty text. Equal texts have equal fingerprints. Only DataFrame functions are used.
@@ -30,12 +31,12 @@ _SPACE = "[ \\t-\\r]+"
 
 
 def with_anchors(rows: DataFrame, text: str, out: str) -> DataFrame:
-    """``rows`` with ``out``: array of (p, h), all anchors of the text column in text order."""
-    words, inner, picked, least = (f"{out}_{x}" for x in ("words", "inner", "picked", "least"))
+    """``rows`` with ``out``: array of (p, h, n), all anchors of the text column in text order; n counts equal ones from 0."""
+    words, inner, picked, runs, nth = (f"{out}_{x}" for x in ("words", "inner", "picked", "runs", "nth"))
     n = F.size(words)
     rows = rows.withColumn(words, F.array_remove(F.split(text, _SPACE), ""))
-    runs = F.transform(F.sequence(F.lit(1), n - (S - 1)), lambda i: F.xxhash64(F.slice(words, i, S)))
-    rows = rows.withColumn(inner, F.when(n >= K, runs))
+    hashes = F.transform(F.sequence(F.lit(1), n - (S - 1)), lambda i: F.xxhash64(F.slice(words, i, S)))
+    rows = rows.withColumn(inner, F.when(n >= K, hashes))
     last = K - S
 
     def closed(i: Column) -> Column:
@@ -43,15 +44,17 @@ def with_anchors(rows: DataFrame, text: str, out: str) -> DataFrame:
         return F.least(first, end) <= F.least(*[F.get(inner, i + j) for j in range(1, last)])
 
     starts = F.filter(F.sequence(F.lit(0), n - K), closed)
-    hashed = F.transform(starts, lambda i: F.struct(
-        F.xxhash64(F.slice(words, i + 1, K)).bitwiseAND(0xFFFFFFFF).alias("h"), i.alias("p")))
-    whole = F.array(F.struct(F.xxhash64(text).bitwiseAND(0xFFFFFFFF).alias("h"), F.lit(0).alias("p")))
+    hashed = F.transform(starts, lambda i: F.struct(F.xxhash64(F.slice(words, i + 1, K)).alias("h"), i.alias("p")))
     rows = rows.withColumn(picked, F.when(n >= K, F.sort_array(hashed)))
-    fresh = F.filter(picked, lambda x, k: (k == 0) | (F.get(picked, k - 1)["h"] != x["h"]))
-    some = F.when(F.size(picked) > 0, fresh).otherwise(whole)
-    rows = rows.withColumn(least, some)
-    by_place = F.sort_array(F.transform(least, lambda x: F.struct(x["p"].alias("p"), x["h"].alias("h"))))
-    return rows.withColumn(out, by_place).drop(words, inner, picked, least)
+    # Where runs of equal hashes begin; each run counts from 0.
+    begins = F.transform(picked, lambda x, k: F.when((k == 0) | (F.get(picked, k - 1)["h"] != x["h"]), k))
+    rows = rows.withColumn(runs, F.filter(begins, lambda k: k.isNotNull()))
+    after = lambda j: F.coalesce(F.get(runs, j + 1), F.size(picked))
+    rows = rows.withColumn(nth, F.flatten(F.transform(runs, lambda k, j: F.sequence(F.lit(0), after(j) - k - 1))))
+    placed = F.transform(picked, lambda x, k: F.struct(x["p"].alias("p"), x["h"].alias("h"), F.get(nth, k).alias("n")))
+    whole = F.array(F.struct(F.lit(0).alias("p"), F.xxhash64(text).alias("h"), F.lit(0).alias("n")))
+    rows = rows.withColumn(out, F.when(F.size(picked) > 0, F.sort_array(placed)).otherwise(whole))
+    return rows.drop(words, inner, picked, runs, nth)
 
 
 def as_text(anchors: str) -> Column:
@@ -64,11 +67,12 @@ def with_likeness(rows: DataFrame, a: str, b: str, out: str) -> DataFrame:
     both, pairs = f"{out}_both", f"{out}_pairs"
 
     def sided(anchors: str, side: int) -> Column:
-        return F.transform(anchors, lambda x: F.struct(x["h"].alias("h"), F.lit(side).alias("side"), x["p"].alias("p")))
+        return F.transform(anchors, lambda x: F.struct(
+            x["h"].alias("h"), x["n"].alias("n"), F.lit(side).alias("side"), x["p"].alias("p")))
 
     def shared(x: Column, k: Column) -> Column:
         after = F.get(both, k + 1)
-        return F.when(after["h"] == x["h"], F.struct(x["p"].alias("a"), after["p"].alias("b")))
+        return F.when((after["h"] == x["h"]) & (after["n"] == x["n"]), F.struct(x["p"].alias("a"), after["p"].alias("b")))
 
     rows = rows.withColumn(both, F.sort_array(F.concat(sided(a, 0), sided(b, 1))))
     found = F.filter(F.transform(both, shared), lambda x: x.isNotNull())

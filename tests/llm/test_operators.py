@@ -1,12 +1,17 @@
 """Every operator against a plain computation, and on null, empty, long, repeated and clashing input."""
 
 import hashlib
+import random
 import re
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -27,6 +32,7 @@ from probanza.llm.queries import URL_RULES
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 SENTENCE = "the quick brown fox jumps over the lazy dog near the old river bank while many small birds sing in tall green trees"
+_COUNTER = token_counts.PieceCounter(BYTES, public_tokenizers.PATTERN, {})
 #: Columns that share names with results and helpers of the operators.
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, key string, score double, n_words long, ids string"
 
@@ -85,6 +91,24 @@ def test_token_counts_of_long_pre_tokens(spark):
     assert got == {i: len(_ids(BYTES, t)) for i, t in enumerate(texts)}
 
 
+_SCRIPTS = ["“the” cat — it’s", "съешь же ещё этих мягких булок", "日本語の文 です。\n中文 文字", "αβγ\u00a0δ  ε\u3000 ζ\x85 η", "٣٤ 7７ e\u0301x", "a\u200b b\u2028 c\x1c d"]
+
+
+@given(st.lists(st.sampled_from([*" \n\ta'sé7.ж日’٣\u00a0\u3000\x85\u200b\u2028\x1c\u0301\U0001f600", "  ", "’s"]), max_size=40).map("".join))
+@settings(max_examples=400, deadline=None)
+def test_pieces_of_any_script_add_up(text):
+    assert _COUNTER.count(text) == len(_COUNTER.tokenizer.encode(text, add_special_tokens=False).ids)
+
+
+def test_other_scripts_go_through_the_table(spark):
+    texts = [t for t in _SCRIPTS for _ in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    frequent = token_counts.frequent_pieces(docs, BYTES, public_tokenizers.PATTERN)
+    assert {" булок", "съешь", " —", "“the”", " cat", "\n中文"} <= set(frequent)
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs, BYTES, public_tokenizers.PATTERN).collect()}
+    assert got == {i: len(_ids(BYTES, t)) for i, t in enumerate(texts)}
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r["doc_id"]: r for r in language_id.predict(docs).collect()}
@@ -218,6 +242,57 @@ def test_fingerprints(odd, docs):
     assert fingerprint.fingerprints(odd).count() == odd.count() and fingerprint.fingerprints(odd.limit(0)).count() == 0
 
 
+def _signed(h):
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _plain_hash(words):
+    h = 42
+    for w in words:
+        h = xxhash.xxh64_intdigest(w.encode(), seed=h)
+    return _signed(h)
+
+
+def _plain_anchors(text):
+    words = [w for w in re.split("[ \t-\r]+", text) if w]
+    inner = [_plain_hash(words[i : i + 2]) for i in range(len(words) - 1)]
+    found = [
+        (i, _plain_hash(words[i : i + 5])) for i in range(len(words) - 4)
+        if min(inner[i], inner[i + 3]) <= min(inner[i + 1 : i + 3])
+    ]
+    return found or [(0, _plain_hash([text]))]
+
+
+def _plain_likeness(a, b):
+    places = [defaultdict(list), defaultdict(list)]
+    for side, anchors in zip(places, (a, b), strict=True):
+        for p, h in anchors:
+            side[h].append(p)
+    pairs = sorted(pair for h, ps in places[0].items() for pair in zip(ps, places[1][h], strict=False))
+    kept = sum(k == 0 or y > pairs[k - 1][1] for k, (_, y) in enumerate(pairs))
+    share = kept / (len(a) + len(b) - len(pairs))
+    return 2 * share / (1 + share)
+
+
+def test_anchors_and_likeness_equal_plain_ones(spark):
+    rng = random.Random(4)
+    passage = " ".join(rng.choice("abcdefghijklmnopqrstuvw") + str(k) for k in range(60))
+    texts = [passage, "\n".join([passage] * 40), "a b " * 500, "", "one two", "é" * 3 + " b c d e", None]
+    texts += [" ".join(rng.choice("abc") for _ in range(rng.randrange(300))) for _ in range(30)]
+    rows = spark.createDataFrame([(-i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in fingerprint.fingerprints(rows).collect()}
+    for i, text in enumerate(texts):
+        text, after = text or "", texts[(i + 1) % len(texts)] or ""
+        cut = len(text) // 3
+        own, edited, following = map(_plain_anchors, (text, text[: len(text) - cut] + after[:cut], after))
+        row = got[-i]
+        for column, anchors in (("fingerprint", own), ("edited_fingerprint", edited)):
+            assert row[column] == " ".join(f"{p}:{h % (1 << 64):x}" for p, h in anchors)
+        assert row["near_edited"] == pytest.approx(_plain_likeness(own, edited))
+        assert row["near_next"] == pytest.approx(_plain_likeness(own, following))
+    assert got[0]["near_next"] < 0.06  # once against forty times
+
+
 def test_shared_passage_shows_in_long_fingerprints(spark):
     passage = [f"p{k}" for k in range(200)]
     texts = [[f"{s}{k}" for k in range(n)] for s, n in (("a", 20_000), ("b", 20_000))]
