@@ -70,21 +70,25 @@ def composite_left_count(spark, sf):
 
 
 # --- J3 -------------------------------------------------------------------------------------------
+def _keys_of_both(c: str, ck: str, p: str, pk: str, key: str) -> str:
+    """A row per key of either side with the rows that hold it as child and as parent."""
+    return f"""(SELECT k, count(*) FILTER (child) AS c, count(*) FILTER (NOT child) AS p
+      FROM (SELECT {key.format(ck)} AS k, true AS child FROM {c} UNION ALL SELECT {key.format(pk)}, false FROM {p}) GROUP BY k)"""
+
+
 def _fk_sql(edge) -> str:
-    c, ck, p, pk = edge
-    return f"""SELECT '{c}.{ck}->{p}.{pk}' AS record_id, '{c}' AS child_dataset, '{ck}' AS child_key,
-      '{p}' AS parent_dataset, '{pk}' AS parent_key, a.child_row_count, a.non_null_child_keys, a.distinct_child_keys,
-      m.matched AS matched_distinct_keys, a.distinct_child_keys - m.matched AS unmatched_distinct_keys,
-      CASE WHEN a.distinct_child_keys > 0 THEN round(m.matched / a.distinct_child_keys * 100, 6) END AS match_rate_pct,
-      CASE WHEN a.distinct_child_keys > 0 THEN round((a.distinct_child_keys - m.matched) / a.distinct_child_keys * 100, 6) END AS orphan_rate_pct,
-      CASE WHEN b.total > 0 THEN round((b.nn - b.dd) / b.total * 100, 6) ELSE 0 END AS parent_duplicate_key_rate_pct,
-      CASE WHEN a.distinct_child_keys = 0 THEN 'UNKNOWN_NO_NONNULL_KEYS' ELSE 'KNOWN' END AS rate_status,
-      CASE WHEN a.distinct_child_keys = 0 THEN 'NO_NONNULL_CHILD_KEYS' ELSE 'OBSERVED RELATIONSHIP' END AS status
-    FROM (SELECT count(*) AS child_row_count, count(*) FILTER ({ne(ck)}) AS non_null_child_keys,
-                 count(DISTINCT trim({ck})) FILTER ({ne(ck)}) AS distinct_child_keys FROM {c}) a,
-         (SELECT count(*) AS matched FROM (SELECT DISTINCT trim({ck}) AS k FROM {c} WHERE {ne(ck)}) x
-            JOIN (SELECT DISTINCT trim({pk}) AS k FROM {p} WHERE {ne(pk)}) y USING (k)) m,
-         (SELECT count(*) AS total, count(*) FILTER ({ne(pk)}) AS nn, count(DISTINCT trim({pk})) FILTER ({ne(pk)}) AS dd FROM {p}) b"""
+    held = "FILTER (k IS NOT NULL AND {})".format
+    return f"""SELECT '{"{}.{}->{}.{}".format(*edge)}' AS record_id, '{edge[0]}' AS child_dataset, '{edge[1]}' AS child_key,
+      '{edge[2]}' AS parent_dataset, '{edge[3]}' AS parent_key, rows_c AS child_row_count, keyed_c AS non_null_child_keys,
+      d AS distinct_child_keys, m AS matched_distinct_keys, d - m AS unmatched_distinct_keys,
+      round(m / nullif(d, 0) * 100, 6) AS match_rate_pct, round((d - m) / nullif(d, 0) * 100, 6) AS orphan_rate_pct,
+      coalesce(round(extra_p / nullif(rows_p, 0) * 100, 6), 0) AS parent_duplicate_key_rate_pct,
+      if(d = 0, 'UNKNOWN_NO_NONNULL_KEYS', 'KNOWN') AS rate_status,
+      if(d = 0, 'NO_NONNULL_CHILD_KEYS', 'OBSERVED RELATIONSHIP') AS status
+    FROM (SELECT coalesce(sum(c), 0)::BIGINT AS rows_c, coalesce(sum(c) {held("true")}, 0)::BIGINT AS keyed_c,
+        count(*) {held("c > 0")} AS d, count(*) {held("c > 0 AND p > 0")} AS m,
+        sum(p) AS rows_p, coalesce(sum(p - 1) {held("p > 0")}, 0) AS extra_p
+      FROM {_keys_of_both(*edge, "nullif(trim({}), '')")})"""
 
 
 @register("j03_fk_profile", with_tables(*EVIDENCE_TABLES) + "\nUNION ALL\n".join(_fk_sql(e) for e in vocab.EVIDENCE_EDGES))
@@ -126,12 +130,10 @@ def fk_row_profile(spark, sf):
 
 # --- J6 -------------------------------------------------------------------------------------------
 def _reconcile_sql(c, ck, p, pk, prefix) -> str:
-    return f"""SELECT '{c}' AS child, (SELECT count(DISTINCT {ck}) FROM {c}) AS distinct_child_keys,
-      (SELECT count(DISTINCT {pk}) FROM {p}) AS distinct_parent_keys,
-      (SELECT count(*) FROM (SELECT DISTINCT {ck} AS k FROM {c}) a JOIN (SELECT DISTINCT {pk} AS k FROM {p}) b USING (k)) AS exact_matches,
-      (SELECT count(*) FROM (SELECT DISTINCT {ck} AS k FROM {c}) a JOIN (SELECT DISTINCT {pk} AS k FROM {p}) b
-         ON regexp_replace(a.k, '^{prefix}[-_]', '') = regexp_replace(b.k, '^{prefix}[-_]', '')) AS normalized_matches,
-      'MEASURED' AS status"""
+    return f"""SELECT '{c}' AS child, sum(a)::BIGINT AS distinct_child_keys, sum(b)::BIGINT AS distinct_parent_keys,
+      sum(ab)::BIGINT AS exact_matches, sum(a * b)::BIGINT AS normalized_matches, 'MEASURED' AS status
+    FROM (SELECT count(*) FILTER (c > 0) AS a, count(*) FILTER (p > 0) AS b, count(*) FILTER (c > 0 AND p > 0) AS ab
+      FROM {_keys_of_both(c, ck, p, pk, "{}")} WHERE k IS NOT NULL GROUP BY regexp_replace(k, '^{prefix}[-_]', ''))"""
 
 
 @register(
