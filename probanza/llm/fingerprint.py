@@ -51,7 +51,7 @@ def with_anchors(rows: DataFrame, text: str, out: str) -> DataFrame:
     rows = rows.withColumn(runs, F.filter(begins, lambda k: k.isNotNull()))
     after = lambda j: F.coalesce(F.get(runs, j + 1), F.size(picked))
     rows = rows.withColumn(nth, F.flatten(F.transform(runs, lambda k, j: F.sequence(F.lit(0), after(j) - k - 1))))
-    placed = F.transform(picked, lambda x, k: F.struct(x["p"].alias("p"), x["h"].alias("h"), F.get(nth, k).alias("n")))
+    placed = F.zip_with(picked, nth, lambda x, k: F.struct(x["p"].alias("p"), x["h"].alias("h"), k.alias("n")))
     whole = F.array(F.struct(F.lit(0).alias("p"), F.xxhash64(text).alias("h"), F.lit(0).alias("n")))
     rows = rows.withColumn(out, F.when(F.size(picked) > 0, F.sort_array(placed)).otherwise(whole))
     return rows.drop(words, inner, picked, runs, nth)
