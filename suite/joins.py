@@ -76,7 +76,7 @@ def _keys_of_both(c: str, ck: str, p: str, pk: str, key: str) -> str:
       FROM (SELECT {key.format(ck)} AS k, true AS child FROM {c} UNION ALL SELECT {key.format(pk)}, false FROM {p}) GROUP BY k)"""
 
 
-def _fk_sql(edge) -> str:
+def fk_sql(edge) -> str:
     held = "FILTER (k IS NOT NULL AND {})".format
     return f"""SELECT '{"{}.{}->{}.{}".format(*edge)}' AS record_id, '{edge[0]}' AS child_dataset, '{edge[1]}' AS child_key,
       '{edge[2]}' AS parent_dataset, '{edge[3]}' AS parent_key, rows_c AS child_row_count, keyed_c AS non_null_child_keys,
@@ -91,7 +91,7 @@ def _fk_sql(edge) -> str:
       FROM {_keys_of_both(*edge, "nullif(trim({}), '')")})"""
 
 
-@register("j03_fk_profile", with_tables(*EVIDENCE_TABLES) + "\nUNION ALL\n".join(_fk_sql(e) for e in vocab.EVIDENCE_EDGES))
+@register("j03_fk_profile", with_tables(*EVIDENCE_TABLES) + "\nUNION ALL\n".join(fk_sql(e) for e in vocab.EVIDENCE_EDGES))
 def fk_profile(spark, sf):
     return K.fk_profiles(tables(spark, sf, *EVIDENCE_TABLES), vocab.EVIDENCE_EDGES)
 

@@ -9,12 +9,13 @@ from probanza.functions import columns as C
 from probanza.functions import vocab
 from probanza.operators import profile as P
 from probanza.plans import audit as A
-from probanza.session import scratch_path
+from probanza.plans import evidence as V
+from probanza.session import scratch_path, side_by_side
 from probanza.sources import files as L
 from probanza.sources import sinks
 from probanza.sources import tables as S
 from suite.domain import DRIVER_TABLES, driver_table, table, tables, with_tables
-from suite.joins import ts
+from suite.joins import EVIDENCE_TABLES, fk_sql, ts
 from suite.profiles import each, types_sql, union
 from suite.registry import register
 
@@ -68,6 +69,18 @@ def drifting_tree(spark: SparkSession, sf: str) -> str:
     return _once(spark, sf, "drifting", write)
 
 
+def scoped_tree(spark: SparkSession, sf: str) -> str:
+    """The tables of the evidence pass, a folder of CSV files each."""
+
+    def write(root: str) -> None:
+        def one(name: str):
+            return lambda: table(spark, sf, name).write.options(**_AS_IS).csv(f"{root}/{name}")
+
+        side_by_side(spark, [one(name) for name in vocab.SCOPED_COLUMNS])
+
+    return _once(spark, sf, "scoped-tree", write)
+
+
 def ragged_tree(spark: SparkSession, sf: str) -> str:
     """Customers as raw lines; some segments have a field too many, some one too few."""
 
@@ -454,3 +467,22 @@ def header_drift(spark, sf):
     return found.select("dataset", *(F.col(c).cast("int").alias(c) for c in counts), "header_inconsistency", "schema_drift")
 
 
+_JOIN_NUMBERS = ("child_row_count", "non_null_child_keys", "distinct_child_keys", "matched_distinct_keys", "unmatched_distinct_keys")
+
+
+@register(
+    "s23_evidence_from_files",
+    with_tables(*EVIDENCE_TABLES)
+    + f"""SELECT record_id, status, {', '.join(_JOIN_NUMBERS)}, match_rate_pct, child_row_count AS manifest_rows
+    FROM ({" UNION ALL ".join(fk_sql(e) for e in vocab.EVIDENCE_EDGES)})""",
+)
+def evidence_from_files(spark, sf):
+    """The evidence pass from CSV files to artifacts; its join artifact and its manifest are read back from what it wrote."""
+    reports = scratch_path(spark, "evidence-reports")
+    V.run(spark, scoped_tree(spark, sf), reports, "2024-01-20")
+    joins = spark.read.options(**_AS_IS).csv(f"{reports}/06_join_quality")
+    counted = spark.read.json(f"{reports}/manifest").select(F.inline("tables")).select("dataset", F.col("rows").alias("manifest_rows"))
+    return joins.join(counted, F.col("child_dataset") == F.col("dataset")).select(
+        "record_id", "status", *(F.col(c).cast("long").alias(c) for c in _JOIN_NUMBERS),
+        F.col("match_rate_pct").cast("double").alias("match_rate_pct"), "manifest_rows",
+    )
