@@ -9,13 +9,14 @@ shorter context.
 The counts are exact, whatever the input holds: a byte with its ``ORDER`` predecessors (or the
 begin of the URL) is one integer of 9 bits a symbol, and a table holds each integer that occurs in
 any URL with its counts in both models, aggregated in the tasks first. Shorter contexts are sums
-of that table. The table of a level joins the one below it on its last symbols and its contexts',
-so a key meets at most 257 rows. The last level gives each integer the difference of both
-log-likelihoods, in units of 2^-32, and a URL's score is their sum over its bytes, divided by
-their number: distinct URLs (by a hash of 128 bits) are scored once, by a join on the integer that
-is broadcast below a checked size only. A logistic curve fitted to the scores of the URLs of a
-fold that the models never saw turns the score into a probability of being allowed, and URLs
-without a rule are allowed from a half on.
+of that table. A level's counts are summed by context and joined to the level below on their last
+symbols, so a key meets at most 257 rows; each level is written, so that no plan holds more than
+one. The last level gives each integer the difference of both log-likelihoods, in units of 2^-32,
+and a URL's score is their sum over its bytes, divided by their number: distinct URLs (by a hash of
+128 bits) are scored once, by a join on the integer that is broadcast below a checked size only. A
+logistic curve fitted to the scores of the URLs of a fold that the models never saw, each weighted
+by its pages, turns the score into a probability of being allowed, and URLs without a rule are
+allowed from a half on.
 
 A null or empty url, or one without ``://``, has an empty host and path and no rule; its verdict is
 the method's (a null or an empty url scores 0). Where rules decide no URL the models are empty and
@@ -27,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from probanza.llm.texts import blocks, checked_broadcast, stored
@@ -106,18 +107,23 @@ def gram_counts(urls: DataFrame) -> DataFrame:
 
 
 def gram_ratios(counts: DataFrame) -> DataFrame:
-    """(g, ratio): log-likelihood of the last byte in the model of good URLs less that in the other, in units."""
+    """(g, ratio): log-likelihood of the last byte in the model of good URLs less that in the other, in units.
+
+    ``counts`` is a written table, and so is every level on the way.
+    """
     sums = [F.sum("good").alias("good"), F.sum("bad").alias("bad")]
     levels = [counts]
     for k in range(ORDER - 1, -1, -1):
-        levels.insert(0, levels[0].groupBy(F.col("g").bitwiseAND((1 << SYMBOL * (k + 1)) - 1).alias("g")).agg(*sums))
+        level = levels[0].groupBy(F.col("g").bitwiseAND((1 << SYMBOL * (k + 1)) - 1).alias("g")).agg(*sums)
+        levels.insert(0, stored(level, f"url-grams-{k}"))
     shorter = None
+    context = Window.partitionBy(F.shiftright("g", SYMBOL))
     for k, level in enumerate(levels):
-        context = level.groupBy(F.shiftright("g", SYMBOL).alias("context")).agg(F.sum("good").alias("n_good"), F.sum("bad").alias("n_bad"))
-        known = level.withColumn("context", F.shiftright("g", SYMBOL)).join(context, "context")
+        known = level.withColumns({f"n_{m}": F.sum(m).over(context) for m in ("good", "bad")})
         if shorter is None:
             known = known.withColumns({"p_good": F.lit(1 / 256), "p_bad": F.lit(1 / 256)})
         else:
+            shorter = stored(shorter, f"url-odds-{k - 1}")
             known = known.withColumn("last", F.col("g").bitwiseAND((1 << SYMBOL * k) - 1)).join(shorter, "last")
         shorter = known.select(
             F.col("g").alias("last"),
@@ -158,13 +164,13 @@ def _logistic(score: np.ndarray, good: np.ndarray, weight: np.ndarray) -> tuple[
 
 
 def calibrated(scored: DataFrame) -> tuple[float, float]:
-    """Slope and offset of the logistic curve, from (allowed, score) of the held-out fold."""
-    bins = scored.groupBy("allowed", F.round("score", 2).alias("score")).count().collect()
+    """Slope and offset of the logistic curve, from (allowed, score, pages) of the held-out URLs."""
+    bins = scored.groupBy("allowed", F.round("score", 2).alias("score")).agg(F.sum("pages").alias("pages")).collect()
     if not bins:
         return 1.0, 0.0
     # At most the bins of a bounded score, for two classes.
     return _logistic(
-        np.array([r["score"] for r in bins]), np.array([r["allowed"] for r in bins]), np.array([float(r["count"]) for r in bins])
+        np.array([r["score"] for r in bins]), np.array([r["allowed"] for r in bins]), np.array([float(r["pages"]) for r in bins])
     )
 
 
@@ -183,9 +189,11 @@ def url_filter(pages: DataFrame, rules: dict[str, str]) -> DataFrame:
     ratios = stored(gram_ratios(counts), "url-ratios")
     scores = stored(url_scores(rows.filter(some).select("h1", "h2", "url"), ratios), "url-scores")
 
-    keyed = rows.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.col("found.verdict").alias("given"), "fold", "h1", "h2")
+    allowed = F.first(F.col("found.verdict") == "allow").alias("allowed")
+    held_out = rows.filter("fold AND found IS NOT NULL").groupBy("h1", "h2").agg(allowed, F.count(F.lit(1)).alias("pages"))
+    keyed = rows.select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.col("found.verdict").alias("given"), "h1", "h2")
     scored = lookup_join(keyed, scores, ["h1", "h2"]).withColumn("score", F.coalesce("score", F.lit(0.0)))
-    slope, offset = calibrated(scored.filter("fold AND given IS NOT NULL").select((F.col("given") == "allow").alias("allowed"), "score"))
+    slope, offset = calibrated(held_out.join(scores, ["h1", "h2"]))
     chance = 1 / (1 + F.exp(-(F.lit(slope) * F.col("score") + F.lit(offset))))
     own = F.when(chance >= 0.5, "allow").otherwise("block")
     return scored.select(

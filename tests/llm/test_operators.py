@@ -203,6 +203,35 @@ def test_url_models_on_the_fold_they_never_saw(spark):
     assert len(known) > 100 and np.mean([(r["allowed_probability"] >= 0.5) == (r["verdict"] == "allow") for r in known]) > 0.95
 
 
+def test_url_plans_hold_one_level_each(spark, monkeypatch):
+    """The driver keeps threads and plans for the exchanges of a query: they must not grow with the levels of the models."""
+    exchanges, plain = {}, url_filter.stored
+
+    def noted(df, label):
+        exchanges[label] = df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+        return plain(df, label)
+
+    monkeypatch.setattr(url_filter, "stored", noted)
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url")
+    result = url_filter.url_filter(pages, URL_RULES)
+    noted(result, "result")
+    assert max(exchanges.values()) <= 10 and sum(exchanges.values()) <= 40, exchanges
+
+
+def test_url_calibration_weighs_every_page(spark):
+    """Repeated URLs of the fold count as often as they occur, and pages of other folds or without a rule do not."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    often = pages.filter("url LIKE '%.com/%'").limit(20).withColumn("page_id", F.explode(F.sequence(F.lit(100_000), F.lit(100_040))))
+    got = url_filter.url_filter(pages.unionByName(often).unionByName(spark.createDataFrame([(-1, None), (-2, "")], pages.schema)), URL_RULES).collect()
+    urls = {r["page_id"]: r["url"] or "" for r in pages.collect()}
+    held = [r for r in got if r["rule"] and zlib.crc32(urls.get(r["page_id"], "").encode()) % 4 == url_filter.FOLD and r["page_id"] < 100_000]
+    again = {r["url"] for r in often.collect()}
+    weight = [1.0 + 41 * (urls[r["page_id"]] in again) for r in held]
+    slope, offset = url_filter._logistic(np.array([round(r["score"], 2) for r in held]), np.array([r["verdict"] == "allow" for r in held]), np.array(weight))
+    for r in got:
+        assert abs(1 / (1 + np.exp(-(slope * r["score"] + offset))) - r["allowed_probability"]) < 1e-6
+
+
 def _plain_quality(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
