@@ -205,10 +205,11 @@ _FEED = """SELECT CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) AS requ
 def request_stream(spark, sf):
     """The conversations as a live feed, decided batch by batch against the catalog."""
     stored = driver_table(spark, sf, "conversations")
-    stream = spark.readStream.schema(stored.schema).option("pathGlobFilter", "conversations.parquet").parquet(sf)
+    # A stream takes a folder or a pattern, and the table is a folder of part files or one file: the pattern fits both.
+    stream = spark.readStream.schema(stored.schema).parquet(f"{sf}/{{conversations.parquet}}")
     feed = spark.sql(_FEED, src=stream)
     target, checkpoint = scratch_path(spark, "answers"), scratch_path(spark, "stream")
-    version = lambda: path_version(spark, sf, "orders.parquet")  # noqa: E731  (products are derived from orders)
+    version = lambda: path_version(spark, f"{sf}/orders.parquet")  # noqa: E731  (products are derived from orders)
     decision_stream(feed, lambda: table(spark, sf, "products"), version, target, checkpoint).awaitTermination()
     return spark.read.option("basePath", target).parquet(f"{target}/batch=*").select(
         "case_id", "predicted_action", "predicted_balance", "response"
